@@ -2,9 +2,10 @@
 
 No bucket is expanded into all its pairs. Each member is first tested against the bucket's smallest
 node; members that join its group need no further test there. Those that don't are tested against
-further members of that group, one a round, and when few are left, against every member of their
-bucket that is in another group. So each pair of a bucket is either tested or known to be connected:
-the groups are those that testing every pair would give.
+every member of their bucket that is in another group: by blocks, which hold the members themselves and
+never rows of pairs, or, where no Python may run, against further members of the centre's group, one a
+round, and then as pairs. So each pair of a bucket is either tested or known to be connected: the
+groups are those that testing every pair would give.
 
 All tables have narrow rows of 64-bit numbers. Nothing but counts reaches the driver. Joins stand
 directly over the exchanges of written tables, so that adaptive execution can split a hot key.
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.shared import written
 
-#: Unlike pairs that remain, as a share of the rows in buckets, below which all of them are tested.
-FEW = 2.0
+#: Pairs that remain, for each row of the buckets that hold them, below which all of them are tested.
+FEW = 8.0
+#: Nodes of a block.
+BLOCK = 256
 #: Rounds of single probes before all remaining pairs are tested, however many.
 ROUNDS = 6
 
@@ -40,7 +43,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         jump = first.alias("p").join(first.alias("q"), F.col("p.parent") == F.col("q.node")).select("p.node", "q.parent")
         jump = written(jump, f"{label}-jump")
         hi, lo = jump.toDF("hi", "rhi"), jump.toDF("lo", "rlo")
-        moved = written(left.join(hi, "hi").select("lo", "rhi"), f"{label}-moved").join(lo, "lo")
+        moved = left.join(hi, "hi").select("lo", "rhi").join(lo, "lo")
         left = written(moved.select(F.greatest("rhi", "rlo").alias("hi"), F.least("rhi", "rlo").alias("lo")).where("hi > lo").distinct(), f"{label}-edges")
         if found is None:
             found = jump.toDF("node", "root")
@@ -54,48 +57,73 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str) -> tuple[DataFrame, DataFrame]:
-    """Components (node, root) and the verified edges (a, b), from buckets (key, node).
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, by_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Components (node, root) of the linked nodes, from buckets (key, node).
 
-    ``verify`` takes different pairs (a, b) and keeps those that are linked.
+    ``verify`` takes different pairs (a, b) and keeps those that are linked. ``by_blocks`` takes what
+    ``blocks`` gives and returns links (a, b) that connect all linked nodes of a block.
     """
     centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other")
     centres = written(centres.select("key", "centre"), f"{label}-centres")
     rows = written(buckets.join(centres, "key"), f"{label}-buckets")
-    total = rows.count()
     edges = written(verify(_ordered(rows.select(F.col("centre").alias("a"), F.col("node").alias("b")))), f"{label}-links")
     roots = components(edges, label)
     before = None
     for round_ in range(ROUNDS + 1):
-        marked = _rooted(_rooted(rows, roots, "node", label), roots, "centre", label)
-        marked = written(marked, f"{label}-marked")
+        marked = written(_rooted(_rooted(rows, roots, "node"), roots, "centre"), f"{label}-marked")
         unlike: Column = F.col("node_root") != F.col("centre_root")
-        sums = written(
-            marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u"), F.min_by("node", F.when(~unlike, F.xxhash64("node", F.lit(round_)))).alias("probe")).where("u > 0 and n > 2"),
-            f"{label}-mixed",
-        )
-        pairs = sums.select(F.sum(F.col("n") * F.col("u"))).first()[0] or 0
-        if not pairs:
+        probe = F.min_by("node", F.when(~unlike, F.xxhash64("node", F.lit(round_)))).alias("probe")
+        sums = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u"), probe).where("u > 0 and n > 2")
+        sums = written(sums, f"{label}-mixed")
+        size = sums.agg(F.sum(F.col("n") * F.col("u")), F.sum("n")).first()
+        if not size[0]:
             break
-        mixed = written(marked.where(unlike).join(sums.select("key", "probe"), "key"), f"{label}-unlike")
-        if round_ < ROUNDS and pairs > FEW * total and (before is None or pairs < 0.9 * before):
-            more = verify(_ordered(mixed.select(F.col("probe").alias("a"), F.col("node").alias("b"))))
-            before, last = pairs, False
-        else:
+        if by_blocks:
+            more = written(by_blocks(blocks(marked.join(sums.select("key"), "key", "left_semi"), label)), f"{label}-links")
+            return roots if more.isEmpty() else components(edges.unionByName(more), label)
+        mixed = marked.where(unlike).join(sums.select("key", "probe"), "key")
+        last = round_ == ROUNDS or size[0] <= FEW * size[1] or before is not None and size[0] > 0.9 * before
+        if last:
+            mixed = written(mixed, f"{label}-unlike")
             every = marked.join(sums.select("key"), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("node_root").alias("b_root"))
-            both = mixed.select("key", F.col("node").alias("a"), F.col("node_root").alias("a_root")).join(every, "key")
-            more = verify(_ordered(both.where("a_root != b_root").select("a", "b")))
-            last = True
-        more = written(more, f"{label}-links")
-        edges = edges.unionByName(more)
-        roots = components(edges, label)
+            both = mixed.select("key", F.col("node").alias("a"), F.col("node_root").alias("a_root")).join(written(every, f"{label}-every"), "key")
+            pairs = both.where("a_root != b_root").select("a", "b")
+        else:
+            pairs = mixed.select(F.col("probe").alias("a"), F.col("node").alias("b"))
+        before = size[0]
+        more = written(verify(_ordered(pairs)), f"{label}-links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = components(edges, label)
         if last:
             break
-    return roots, edges
+    return roots
 
 
-def _rooted(rows: DataFrame, roots: DataFrame, column: str, label: str) -> DataFrame:
+def blocks(marked: DataFrame, label: str) -> DataFrame:
+    """Rows (cluster, bx, by, node, node_root, as_x, as_y): which nodes to test against which.
+
+    Buckets that share nodes make a cluster. Its nodes that didn't join their centre's group (x) are dealt
+    into blocks, as are all its nodes (y); each x block meets each y block once.
+    """
+    marked = written(marked.withColumn("unlike", F.col("node_root") != F.col("centre_root")), f"{label}-left")
+    cluster = components(marked.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), f"{label}-cluster")
+    members = marked.groupBy("node").agg(F.min("node_root").alias("node_root"), F.max("unlike").alias("x"))
+    members = written(members.join(cluster.withColumnRenamed("root", "cluster"), "node"), f"{label}-members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count_if("x") / BLOCK).cast("int").alias("nx"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"))
+    rows = members.join(written(sizes, f"{label}-sizes"), "cluster")
+    bx, by = (F.pmod(F.xxhash64("node"), F.col(n)).cast("int") for n in ("nx", "ny"))
+    place = lambda bx, by, x, y: F.struct(bx.alias("bx"), by.alias("by"), x.alias("as_x"), y.alias("as_y"))
+    no, yes, zero = F.lit(False), F.lit(True), F.lit(0)
+    every = lambda n: F.sequence(zero, F.col(n) - 1)
+    asked = F.when(F.col("x"), F.transform(every("ny"), lambda i: place(bx, i, yes, no))).otherwise(F.array().cast("array<struct<bx:int,by:int,as_x:boolean,as_y:boolean>>"))
+    answering = F.transform(every("nx"), lambda i: place(i, by, no, yes))
+    small = (F.col("nx") == 1) & (F.col("ny") == 1)
+    places = F.when(small, F.array(place(zero, zero, F.col("x"), yes))).otherwise(F.concat(asked, answering))
+    return rows.select("cluster", "node", "node_root", F.explode(places).alias("p")).select("cluster", "p.bx", "p.by", "node", "node_root", "p.as_x", "p.as_y")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     """Adds the root of a column's node; a node without links is its own."""
-    own = roots.select(F.col("node").alias("n"), F.col("root").alias(f"{column}_root"))
-    got = rows.join(own, F.col(column) == F.col("n"), "left").drop("n")
-    return written(got.withColumn(f"{column}_root", F.coalesce(f"{column}_root", column)), f"{label}-{column}")
+    own = roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+    return rows.join(own, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))

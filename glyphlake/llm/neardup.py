@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,11 +125,72 @@ def _near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([likeness(x, y) >= THRESHOLD for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def _linked(ids: list[int], roots: list[int], as_x: list[bool], as_y: list[bool], texts: list[str]) -> list[tuple[int, int]]:
+    """Links between the x and the y of a block that connect what testing all pairs would connect.
+
+    Each count of a shingle is a token of its own, so the overlap of two multisets is a dot product.
+    """
+    got = [*bags(texts)]
+    rows, hashes, counts = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    size = np.bincount(rows, weights=counts, minlength=len(ids))
+    level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    token = textvec.mix(np.repeat(hashes, counts) + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    row = np.repeat(rows, counts)
+    _, number, often = np.unique(token, return_inverse=True, return_counts=True)
+    met = often[number] > 1
+    row, number = row[met], np.unique(number[met], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    x, y = np.flatnonzero(as_x), np.flatnonzero(as_y)
+    overlap = np.zeros((len(x), len(y)), dtype=np.float32)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        lo, hi = np.searchsorted(number, (a, a + 4096))
+        table = np.zeros((len(ids), min(4096, int(number[-1]) + 1 - a)), dtype=np.float32)
+        table[row[lo:hi], number[lo:hi] - a] = 1
+        overlap += table[x] @ table[y].T
+    union = size[x][:, None] + size[y][None, :] - overlap
+    group, links = {r: r for r in roots}, []
+
+    def find(r: int) -> int:
+        while group[r] != r:
+            group[r] = group[group[r]]
+            r = group[r]
+        return r
+
+    for i, j in zip(*np.nonzero((union > 0) & (overlap >= THRESHOLD * union - 1e-9 * union)), strict=True):
+        p, q = find(roots[x[i]]), find(roots[y[j]])
+        if p != q:
+            group[max(p, q)] = min(p, q)
+            links.append((min(ids[x[i]], ids[y[j]]), max(ids[x[i]], ids[y[j]])))
+    return links
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (cluster, bx, by, node, node_root, as_x, as_y, text), sorted by block; the links of each block."""
+    held: list[tuple] = []
+    name = None
+
+    def answer() -> pa.RecordBatch:
+        _, _, _, ids, roots, as_x, as_y, texts = (list(c) for c in zip(*held, strict=True))
+        links = _linked(ids, roots, as_x, as_y, texts)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != name:
+                yield answer()
+                held = []
+            name = row[:3]
+            held.append(row)
+    if held:
+        yield answer()
+
+
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", hashes: bool = False) -> DataFrame:
-    """One row per document: key, class_id (the class's smallest key), class_size, links, keep.
+    """One row per document: key, class_id (the class's smallest key), class_size, keep.
 
-    ``links`` counts the verified links of the document's text to other texts; ``keep`` marks one row
-    of each class: the one with the smallest key (of rows with equal keys and texts, each).
+    ``keep`` marks one row of each class: the one with the smallest key (of rows with equal keys and
+    texts, each).
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     bands = F.pandas_udf(_bands, "array<long>")
@@ -140,9 +202,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", hashes: boo
     buckets = classes.where("bands is not null").select(F.explode("bands").alias("key"), "node")
 
     shared = buckets.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    shared = written(shared, "near-keys")
-    candidates = written(buckets, "near-all").join(shared, "key")
-    candidates = written(candidates, "near-buckets")
+    candidates = written(buckets.join(written(shared, "near-keys"), "key"), "near-buckets")
     wanted = written(classes.join(candidates.select("node").distinct(), "node").select("node", "h1", "h2", F.col("rep").alias("id")), "near-wanted")
     texts = hashed.join(wanted, [hashed.h1 == wanted.h1, hashed.h2 == wanted.h2, hashed.id.eqNullSafe(wanted.id)]).select("node", "text")
     texts = written(texts, "near-texts")
@@ -152,18 +212,20 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", hashes: boo
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").where(near("text_a", "text_b")).select("a", "b")
 
-    roots, edges = link(candidates, verify, "near")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
-    links = written(ends.groupBy("node").agg(F.count("*").alias("links")), "near-degree")
-    named = classes.select("node", "h1", "h2", "rep", "copies").join(roots, "node", "left").join(links, "node", "left")
-    named = written(named.select("h1", "h2", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "near-named")
+    def by_blocks(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(texts, "node").select("cluster", "bx", "by", "node", "node_root", "as_x", "as_y", "text")
+        return dealt.repartition("cluster", "bx", "by").sortWithinPartitions("cluster", "bx", "by").mapInArrow(_blocks, "a long, b long")
+
+    roots = link(candidates, verify, "near", by_blocks)
+    named = classes.select("node", "h1", "h2", "rep", "copies").join(roots, "node", "left")
+    named = written(named.select("h1", "h2", "rep", "copies", F.coalesce("root", "node").alias("root")), "near-named")
     first = F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "h1", "h2")).alias("first")
     sizes = written(named.groupBy("root").agg(first, F.sum("copies").alias("class_size")), "near-sizes")
     here = (F.col("first.h1") == F.col("h1")) & (F.col("first.h2") == F.col("h2"))
-    final = written(named.join(sizes, "root").select("h1", "h2", F.col("first.rep").alias("class_id"), "class_size", "links", here.alias("here")), "near-final")
+    final = written(named.join(sizes, "root").select("h1", "h2", F.col("first.rep").alias("class_id"), "class_size", here.alias("here")), "near-final")
     got = signed.select("id", "h1", "h2").join(final, ["h1", "h2"])
     keep = F.col("here") & F.col("id").eqNullSafe(F.col("class_id"))
-    return got.select(F.col("id").alias(key), "class_id", "class_size", "links", keep.alias("keep"), *(["h1", "h2"] if hashes else []))
+    return got.select(F.col("id").alias(key), "class_id", "class_size", keep.alias("keep"), *(["h1", "h2"] if hashes else []))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
