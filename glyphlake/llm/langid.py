@@ -49,8 +49,20 @@ class LanguageModel:
     bits: np.ndarray  # log2 of each sample's length
 
 
-def fold(text: str) -> str:
-    return text.lower()
+def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in lower case, each run of other characters than letters as one blank; and each text's count.
+
+    So numbers, marks, layout and case have no say in the language.
+    """
+    lowered = [t.lower() for t in texts]
+    flat = textvec.codes("\n".join(lowered) + "\n")
+    letter = textvec.alpha_table()[flat]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in lowered), dtype=np.int64, count=len(texts)))
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[ends - 1] = False
+    kept = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(keep)))
+    return np.where(letter, flat, 32)[keep], np.diff(kept[np.concatenate((np.zeros(1, dtype=np.int64), ends))])
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -86,20 +98,14 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 def build(samples: dict[str, str]) -> LanguageModel:
     """The automata of the samples, as one dense table."""
     languages = sorted(samples)
-    texts = [fold(samples[x]) for x in languages]
-    count: dict[str, int] = {}
-    for text in texts:
-        for c in text:
-            count[c] = count.get(c, 0) + 1
-    known = sorted(count, key=lambda c: (-count[c], c))[:MOST_SYMBOLS]
+    texts = [folded([samples[x]])[0] for x in languages]
+    found, count = np.unique(np.concatenate([*texts, np.zeros(0, np.int64)]), return_counts=True)
+    known = found[np.lexsort((found, -count))][:MOST_SYMBOLS].astype(np.int64)
     symbols = np.zeros(0x110000, dtype=np.uint8)
-    for i, c in enumerate(known):
-        symbols[ord(c)] = i + 1
-    for c in "\t\n\r\v\f ":
-        symbols[ord(c)] = symbols[ord(" ")]
+    symbols[known] = np.arange(1, len(known) + 1)
     width, tables, starts, base = len(known) + 1, [], [], 0
     for text in texts:
-        moves = suffix_automaton([int(x) for x in symbols[textvec.codes(text)] if x])
+        moves = suffix_automaton([int(x) for x in symbols[text.astype(np.int64)] if x])
         root = np.array([base + moves[0].get(c, 0) * width for c in range(width)], dtype=np.int64)
         known_at_root = np.array([c in moves[0] for c in range(width)])
         # A failed step ends one phrase and starts anew with this character; one that never matches is a phrase too.
@@ -139,13 +145,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 def entropies(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: bits a character by each language; whether it has a letter."""
-    lowered = [fold(t) for t in texts]
-    lengths = np.fromiter(map(len, lowered), dtype=np.int64, count=len(texts))
+    flat, lengths = folded(texts)
     ends = np.cumsum(lengths)
-    flat = textvec.codes("".join(lowered))
-    letters = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(textvec.alpha_table()[flat])))
-    lettered = letters[ends] > letters[ends - lengths]
-    symbols = model.symbols[flat].astype(np.int64)
+    lettered = lengths > 0
+    symbols = model.symbols[flat.astype(np.int64)].astype(np.int64)
     windows = -(-lengths // WINDOW)
     of = np.repeat(np.arange(len(texts)), windows)
     first = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
