@@ -38,25 +38,23 @@ ANCHORS = tuple(
 STRETCH_ROWS, MOST_STRETCHES = 2_000, 65_536
 
 
-def anchored(text: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
-    """A text's content words in order, each as ``anchor:word``; no anchor if another content word stands before it."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    before = lambda i: F.get(words, i - 1)
-    spot = lambda w, i: F.when(~w.isin(*anchors), F.concat(F.when((i > 0) & before(i).isin(*anchors), before(i)).otherwise(""), F.lit(":"), w))
-    return F.filter(F.transform(words, spot), lambda w: w.isNotNull())
-
-
-def chains(content: Column, text: Column) -> Column:
-    """From what ``anchored`` gives to the sorted set of signatures, each 8 hex digits."""
-    chain = lambda w, i: F.when(~w.startswith(":"), F.concat(w, F.lit(":"), F.substring_index(F.get(content, i + 1), ":", -1)))
-    named = F.filter(F.transform(content, chain), lambda s: s.isNotNull())
-    found = F.array_sort(F.array_distinct(F.transform(named, lambda s: F.left(F.md5(s.cast("binary")), F.lit(8)))))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(F.lit("="), F.left(F.md5(text.cast("binary")), F.lit(7)))))
-
-
 def with_signatures(df: DataFrame, text: str, out: str, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
-    """Adds the set of a text column's signatures."""
-    return df.withColumn(out, anchored(F.col(text), anchors)).withColumn(out, chains(F.col(out), F.col(text)))
+    """Adds the sorted set of a text column's signatures, each 8 hex digits.
+
+    Each step is a column of its own that the next one uses more than once, so that no step is worked out
+    again for each element of another.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    before = lambda i: F.get(out, i - 1)
+    # Content words in order, each as ``anchor:word``; no anchor if another content word stands before it.
+    spot = lambda w, i: F.when(~w.isin(*anchors), F.concat(F.when((i > 0) & before(i).isin(*anchors), before(i)).otherwise(""), F.lit(":"), w))
+    chain = lambda w, i: F.when(~w.startswith(":"), F.concat(w, F.lit(":"), F.substring_index(F.get(out, i + 1), ":", -1)))
+    digest = lambda s: F.left(F.md5(s.cast("binary")), F.lit(8))
+    df = df.withColumn(out, words)
+    df = df.withColumn(out, F.filter(F.transform(out, spot), lambda w: w.isNotNull()))
+    df = df.withColumn(out, F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(out, chain), lambda s: s.isNotNull()), digest))))
+    own = F.array(F.concat(F.lit("="), F.left(F.md5(F.col(text).cast("binary")), F.lit(7))))
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(own))
 
 
 def likeness(a: Column, b: Column) -> Column:
