@@ -11,6 +11,8 @@ An empty table gives an empty result. Columns named ``shard`` or ``slot`` are re
 
 from __future__ import annotations
 
+from math import e, floor, lgamma, log, sqrt
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,19 +57,22 @@ def communication_matrix(sources: list[int], targets: list[int], seed: int) -> n
 
 
 def _hypergeometric(random: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Good ones among the draws; numpy's own sampler ends at 10**9, so larger urns are drawn from by halves."""
+    """Good ones among the draws. numpy's sampler ends at 10**9; larger urns take Stadlober's ratio-of-uniforms rejection."""
     if not draws or not good:
         return 0
     if good + bad < 1_000_000_000:
         return int(random.hypergeometric(good, bad, draws))
-    if draws > 1 << 20:
-        half = draws // 2
-        first = _hypergeometric(random, good, bad, half)
-        return first + _hypergeometric(random, good - first, bad - half + first, draws - half)
-    got = 0
-    for taken in range(draws):
-        got += int(random.random() * (good + bad - taken) < good - got)
-    return got
+    total, low, high = good + bad, max(0, draws - bad), min(draws, good)
+    share = good / total
+    spread = sqrt(draws * share * (1 - share) * (total - draws) / (total - 1) + 0.5)
+    centre, width = draws * share + 0.5, 2 * sqrt(2 / e) * spread + 3 - 2 * sqrt(3 / e)
+    weight = lambda k: lgamma(k + 1) + lgamma(good - k + 1) + lgamma(draws - k + 1) + lgamma(bad - draws + k + 1)
+    best = weight(min(high, max(low, (draws + 1) * (good + 1) // (total + 2))))
+    while True:
+        u, v = 1 - random.random(), random.random()
+        k = floor(centre + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * log(u) <= best - weight(k):
+            return k
 
 
 def _permuted(table: pa.Table, seed: list[int]) -> pa.Table:
