@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphlake.sources.files import new_path
+
 #: Prefix of helper columns; a table's own columns are never so named.
 OWN = "__gl_"
 
@@ -17,19 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/glyphlake/{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends here, and lost executors cost nothing."""
     path = new_path(df.sparkSession, label)
@@ -37,6 +24,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
