@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from glyphlake.llm.shared import new_path, written
+from glyphlake.llm.shared import written
+from glyphlake.sources.files import new_path, store as _files
 
 SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, content_length long, headers map<string,string>, payload binary"
 #: Columns that come from one header each.
@@ -42,13 +43,6 @@ FILE_BYTES = 128 << 20
 _FIXED_DATE = "2000-01-01T00:00:00Z"
 
 
-def _files(path: str):
-    """The file system and the path in it; Hadoop also writes local paths with one slash."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def member(headers: list[tuple[str, str]], body: bytes) -> bytes:
     """One record as a gzip member; the extra field ``WL`` holds the member's length and that of the headers' part.
 
