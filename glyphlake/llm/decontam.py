@@ -17,14 +17,15 @@ empty result. Very long texts are read in overlapping pieces, so their shingles
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm import textvec
@@ -132,18 +133,23 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
     return result
 
 
+def _holds(sent: Broadcast) -> Callable[[Column], Column]:
+    """A test whether a text holds an item of a block."""
+
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            mark = np.zeros(len(batch), dtype=bool)
+            mark[[r for r, _, _ in search(sent.value, [x or "" for x in batch.tolist()])]] = True
+            yield pd.Series(mark)
+
+    return holds
+
+
 def flag(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", out: str = "contaminated") -> DataFrame:
     """Adds a boolean column: the document holds an item."""
     got = docs.withColumn(f"{OWN}found", F.lit(False))
     for query in blocks(items, item_text, item_key):
         sent = docs.sparkSession.sparkContext.broadcast(query)
-
-        @F.pandas_udf("boolean")
-        def holds(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            for batch in batches:
-                mark = np.zeros(len(batch), dtype=bool)
-                mark[[r for r, _, _ in search(sent.value, [x or "" for x in batch.tolist()])]] = True
-                yield pd.Series(mark)
-
-        got = got.withColumn(f"{OWN}found", F.col(f"{OWN}found") | holds(F.col(text).cast("string")))
+        got = got.withColumn(f"{OWN}found", F.col(f"{OWN}found") | _holds(sent)(F.col(text).cast("string")))
     return got.withColumn(out, F.col(f"{OWN}found")).drop(f"{OWN}found")
