@@ -8,6 +8,7 @@ a manifest per generation says which of both are current: a reader keeps the one
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 from dataclasses import replace
 
@@ -62,7 +63,7 @@ class PatternIndex:
         manifest.npages = -(-part.rows // params.rows_per_page)
         if part.rows:
             rows = index._rows(index._heap([part]))
-            manifest.runs = [postings.write_run(postings.postings_of(rows, params, part.longest), None, params, f"{root}/run-1", 1, part.rows, manifest.npages)]
+            manifest.runs = [postings.write_run(postings.postings_of(rows, params, part.longest), None, params, index._folder("run-1"), 1, part.rows, manifest.npages)]
             manifest.next_run = 2
         manifest.write(root)
         return index
@@ -83,9 +84,13 @@ class PatternIndex:
     def columns(self) -> list[str]:
         return [f["name"] for f in json.loads(self.manifest.schema)["fields"]]
 
+    def _folder(self, name: str) -> str:
+        """A new folder of the index: writers of one generation never share one, the manifest decides between them."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
+
     def _store(self, df: DataFrame, name: str, first_rid: int) -> Part:
         """Writes rows in order; their ids follow from the task that wrote them and their place in it."""
-        path = f"{self.root}/{name}"
+        path = self._folder(name)
         number = F.monotonically_increasing_id()
         ordered = df.repartitionByRange(*self.manifest.order).sortWithinPartitions(*self.manifest.order)
         ordered = ordered.withColumn(TASK, number)
@@ -278,7 +283,7 @@ class PatternIndex:
     def delete(self, condition: Column | str) -> int:
         """Removes the live rows that a condition picks; returns their number."""
         m = self.manifest
-        path = f"{self.root}/dead-{m.generation + 1}"
+        path = self._folder("dead")
         gone = self._live(self._heap(m.parts + m.frozen + m.pending)).where(condition).select(F.col(RID).alias("val"))
         gone.write.parquet(path)
         n = self.spark.read.schema("val long").parquet(path).count()
@@ -289,7 +294,7 @@ class PatternIndex:
         """Changes rows: they are removed and added again with new ids."""
         old = self.rows().where(condition)
         new = old.select(*(changes[c].alias(c) if c in changes else F.col(c) for c in self.columns))
-        path = f"{self.root}/changed-{self.manifest.generation + 1}"
+        path = self._folder("changed")
         new.write.parquet(path)
         self.delete(condition)
         return self.insert(self.spark.read.parquet(path))
@@ -329,7 +334,7 @@ class PatternIndex:
             every = every.unionByName(postings.postings_of(self._rows(self._heap(parts)), self.params, max(p.longest for p in parts)))
         stopped = postings.dictionary(self.spark, runs).where("ctype = 2").select("key").distinct() if self.params.stops and runs else None
         number = self.manifest.next_run
-        path = f"{self.root}/run-{number}-{self.manifest.generation + 1}"
+        path = self._folder(f"run-{number}")
         return postings.write_run(every.distinct(), stopped, self.params, path, number, rows, npages)
 
     def vacuum(self) -> int:

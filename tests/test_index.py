@@ -18,7 +18,7 @@ PATTERNS = ["%", "", "a%", "%a", "%a%", "h_llo", "hel%", "%LO", "%l%o%", "____",
 @pytest.fixture(scope="module")
 def words(spark):
     random.seed(3)
-    values = [*SPECIAL] + ["".join(random.choice("aeilnorstAE_%") for _ in range(random.randint(1, 9))) for _ in range(250)]
+    values = [*SPECIAL] + ["".join(random.choice("aeilnorstAE_%") for _ in range(random.randint(1, 9))) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(values)), "id long, w string").cache()
     return df
 
