@@ -19,12 +19,12 @@ never the smallest id of a class unless all are null. Columns of the answers' na
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm import textvec
@@ -33,6 +33,8 @@ from glyphlake.llm.shared import written
 
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
+#: Bits of the map that says which texts may share a bucket with others: 8 MB.
+BITMAP = 1 << 26
 
 
 def bags(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -186,6 +188,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer()
 
 
+def _maybe(wanted: DataFrame) -> Callable[[str], Column]:
+    """A test whether a 64-bit hash may be among those of a table; its bitmap has ``BITMAP`` bits, whatever the table's size."""
+    bit = F.pmod(wanted[0], F.lit(BITMAP)) + 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bits = np.zeros((BITMAP // 32768 + 2, 4096), dtype=np.uint8)
+    for n, part in parts:
+        bits[n] = np.frombuffer(bytes(part), dtype=np.uint8)
+    sent = wanted.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def test(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in hashes:
+            # Spark's bitmaps of 32,768 bits are numbered from 1, and a value v of 1 or more is bit v - 1 from there on.
+            at = batch.to_numpy() % BITMAP + 32768
+            yield pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0)
+
+    return test
+
+
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", hashes: bool = False) -> DataFrame:
     """One row per document: key, class_id (the class's smallest key), class_size, keep.
 
@@ -204,7 +225,9 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", hashes: boo
     shared = buckets.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     candidates = written(buckets.join(written(shared, "near-keys"), "key"), "near-buckets")
     wanted = written(classes.join(candidates.select("node").distinct(), "node").select("node", "h1", "h2", F.col("rep").alias("id")), "near-wanted")
-    texts = hashed.join(wanted, [hashed.h1 == wanted.h1, hashed.h2 == wanted.h2, hashed.id.eqNullSafe(wanted.id)]).select("node", "text")
+    # Most texts are in no bucket with others: a hashed bitmap keeps them out of the exchange.
+    few = hashed.where(_maybe(wanted.select("h1"))("h1"))
+    texts = few.join(wanted.hint("merge"), [few.h1 == wanted.h1, few.h2 == wanted.h2, few.id.eqNullSafe(wanted.id)]).select("node", "text")
     texts = written(texts, "near-texts")
     if texts.count() > wanted.count():  # rows that repeat both id and text
         texts = written(texts.dropDuplicates(["node"]), "near-texts")
