@@ -59,7 +59,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), every_line=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

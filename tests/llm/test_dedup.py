@@ -175,6 +175,26 @@ def test_lines_equal_brute_force(spark):
     assert all(r["n_removed"] == sum(d == r["doc_id"] for d, _ in gone) and r["n_lines"] == dict(docs)[r["doc_id"]].count("\n") + 1 for r in rows)
 
 
+def test_lines_with_changed_words_are_found(spark):
+    """Pairs of edit similarity 0.8 and more by one to a fifth of changed words; each document is one line."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    docs, pairs = [], []
+    for n, changed in [(5, 1), (10, 1), (20, 1), (50, 1), (20, 3), (50, 8)] * 40:
+        base = other = [word() for _ in range(n)]
+        while base == other or similarity(" ".join(base), " ".join(other)) < 0.8:
+            base = [word() for _ in range(n)]
+            other = list(base)
+            for i in rng.sample(range(n), changed):
+                other[i] = word()
+        pairs.append((n, changed, len(docs) + 1))
+        docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(other))]
+    gone = {r["doc_id"] for r in lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), every_line=True).where("n_removed = 1").collect()}
+    found = Counter((n, changed) for n, changed, i in pairs if i in gone)
+    assert gone <= {i for _, _, i in pairs}
+    assert all(found[x] == 40 for x in ((5, 1), (10, 1), (20, 1), (50, 1))) and found[20, 3] + found[50, 8] >= 76, found
+
+
 def test_lines_of_odd_rows(spark):
     line = "these are five words here"
     docs = [(2, line + "\nshort"), (1, line), (1, line), (3, None), (4, ""), (None, line + "\nno"), (5, "the " * 70_000)]
