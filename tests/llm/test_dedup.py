@@ -195,6 +195,16 @@ def test_lines_with_changed_words_are_found(spark):
     assert all(found[x] == 40 for x in ((5, 1), (10, 1), (20, 1), (50, 1))) and found[20, 3] + found[50, 8] >= 76, found
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    """Equal lines go however short they are; near ones of one long word go too; lines without a word stay."""
+    rng = random.Random(12)
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(40))
+    near = han[:20] + "々" + han[21:]
+    docs = [(1, "Share\n\nRead more\n--"), (2, "share!\n\nRead  more\n--\nMore"), (2, "share!\n\nRead  more\n--\nMore"), (3, han), (4, near), (5, "Read mere")]
+    got = Counter(tuple(r) for r in lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), every_line=True).select("doc_id", "text", "n_removed").collect())
+    assert got == Counter({(1, docs[0][1], 0): 1, (2, "\n--\nMore", 2): 1, (2, "\n--", 3): 1, (3, han, 0): 1, (4, "", 1): 1, (5, "Read mere", 0): 1})
+
+
 def test_lines_of_odd_rows(spark):
     line = "these are five words here"
     docs = [(2, line + "\nshort"), (1, line), (1, line), (3, None), (4, ""), (None, line + "\nno"), (5, "the " * 70_000)]
