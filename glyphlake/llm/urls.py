@@ -4,8 +4,9 @@ Rules decide first: a rule (action, host, path) fits a url on its host or a subd
 with the rule's; the longest wins. What no rule fits is judged by the method:
 
 1. Per host, each path segment is generalised: one with a digit becomes ``*`` with its extension, and,
-   level by level, a literal that is too rare among its siblings becomes ``*`` too (``LEVELS`` levels;
-   deeper segments together are ``**``).
+   level by level, a literal that is rare becomes ``*`` too (``LEVELS`` levels; deeper segments together
+   are ``**``). One stays that has ``SUPPORT`` rows, or a share of its siblings' rows, or labels unlike
+   theirs, so a section keeps its own labels however many siblings it has.
 2. Statistically similar branches (first segments) of a host are merged: those whose commonest template
    is the same and whose smoothed share of blocked labels does not differ significantly from the pooled.
 3. A template is rejected if its share of blocked labels, smoothed towards its branch's and that towards
@@ -35,6 +36,8 @@ MOST_RULES = 1000
 LEVELS = 3
 #: A literal segment stays if at least so many rows, and so large a share of its parent's, have it.
 LEAST_ROWS, LEAST_SHARE = 3, 0.02
+#: So many rows keep a literal whatever its share, as do labels that differ significantly from its parent's.
+SUPPORT = 100
 #: Rows that the smoothing counts as seen, the significance of a difference, and the share that rejects.
 PRIOR, SIGNIFICANT, PURITY = 10.0, 1.96, 0.8
 
@@ -67,6 +70,13 @@ def _rate(blocked: Column, labelled: Column, towards: Column) -> Column:
     return (blocked + F.lit(PRIOR) * towards) / (labelled + F.lit(PRIOR))
 
 
+def _unlike(b: str, l: str, pb: str, pl: str, base: Column) -> Column:  # noqa: E741
+    """The smoothed share of blocked labels, b of l, differs significantly from the pooled, pb of pl."""
+    r, p = _rate(F.col(b), F.col(l), base), _rate(F.col(pb), F.col(pl), base)
+    spread = F.sqrt(r * (F.lit(1.0) - r) / (F.col(l) + F.lit(PRIOR)) + p * (F.lit(1.0) - p) / (F.col(pl) + F.lit(PRIOR)))
+    return F.abs(r - p) > F.lit(SIGNIFICANT) * spread
+
+
 def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple[tuple[str, str, str], ...] = RULES, label: str | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template."""
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), (F.col(label) if label else F.lit(None)).cast("int").alias("given"))
@@ -84,12 +94,14 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple
 
     tree = rows.groupBy(*shape).agg(F.count("*").alias("n"), F.count("label").alias("l"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
     tree = written(tree, "url-shapes")
+    whole = tree.agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
+    base = F.lit(((whole["b"] or 0) + 1.0) / ((whole["l"] or 0) + 2.0))
     kept = ["host"]
     for i in range(1, LEVELS + 1):
-        child = tree.groupBy(*kept, f"s{i}").agg(F.sum("n").alias("c"))
-        total = child.groupBy(*kept).agg(F.sum("c").alias("total"))
-        # Few literals can hold the least share each, however many a parent has.
-        stay = child.where(F.col("c") >= LEAST_ROWS).join(total, kept).where(F.col("c") >= F.col("total") * F.lit(LEAST_SHARE))
+        child = tree.groupBy(*kept, f"s{i}").agg(F.sum("n").alias("c"), F.sum("l").alias("l"), F.sum("b").alias("b"))
+        total = child.groupBy(*kept).agg(F.sum("c").alias("total"), F.sum("l").alias("tl"), F.sum("b").alias("tb"))
+        enough = (F.col("c") >= SUPPORT) | (F.col("c") >= F.col("total") * F.lit(LEAST_SHARE)) | _unlike("b", "l", "tb", "tl", base)
+        stay = child.where(F.col("c") >= LEAST_ROWS).join(total, kept).where(enough)
         stay = written(stay.select(*kept, f"s{i}", F.lit(True).alias("stays")), f"url-level-{i}")
         tree = tree.join(stay, [*kept, f"s{i}"], "left")
         literal = (F.col(f"s{i}") == "") | F.col(f"s{i}").startswith("*") | F.col("stays").isNotNull()
@@ -98,16 +110,12 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple
     rest = F.concat_ws("/", *(f"g{i}" for i in range(2, LEVELS + 1)), "deep")
     tree = tree.withColumn("rest", rest)
 
-    # From here on: one row per host and template, of which a host has few.
+    # From here on: one row per host and template.
     child = written(tree.groupBy("host", "g1", "rest").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b")), "url-templates")
-    whole = child.agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
-    base = F.lit(((whole["b"] or 0) + 1.0) / ((whole["l"] or 0) + 2.0))
     branch = child.groupBy("host", "g1").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.max(F.struct("n", "rest"))["rest"].alias("common"))
     alike = Window.partitionBy("host", "common")
     branch = branch.withColumn("pl", F.sum("l").over(alike)).withColumn("pb", F.sum("b").over(alike))
-    r, p = _rate(F.col("b"), F.col("l"), base), _rate(F.col("pb"), F.col("pl"), base)
-    spread = F.sqrt(r * (F.lit(1.0) - r) / (F.col("l") + F.lit(PRIOR)) + p * (F.lit(1.0) - p) / (F.col("pl") + F.lit(PRIOR)))
-    merged = F.abs(r - p) <= F.lit(SIGNIFICANT) * spread
+    merged = ~_unlike("b", "l", "pb", "pl", base)
     branch = branch.select("host", "g1", F.when(merged, F.concat(F.lit("{"), "common", F.lit("}"))).otherwise(F.col("g1")).alias("m1"))
     top, leaf = Window.partitionBy("host", "m1"), Window.partitionBy("host", "m1", "rest")
     own = _rate(F.sum("b").over(leaf), F.sum("l").over(leaf), _rate(F.sum("b").over(top), F.sum("l").over(top), base))

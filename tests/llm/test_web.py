@@ -86,6 +86,21 @@ def test_templates_are_rejected_by_labels(spark):
     assert {r["template"] for r in urls.judge(df, rules=(), label="y").where("page_id < 40").collect()} == {"/{*//}/*//"}
 
 
+def test_sections_of_many_siblings_keep_their_labels(spark):
+    """Of 100 sections of 1 % each: a bad one is rejected, a clean one is not, and an unlabelled one has no other's labels."""
+    rows = [(1000 * k + i, f"http://s.test/sec{chr(97 + k // 26)}{chr(97 + k % 26)}/{i}", 1 if k == 0 else 0 if k < 50 else None) for k in range(100) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, y int")
+    said = {r["page_id"]: r["verdict"] for r in urls.judge(df, rules=(), label="y").collect()}
+    assert {k for k in range(100) if said[1000 * k] == "block"} == {0}
+    few = spark.createDataFrame([(i, u, y) for i, u, y in rows if i % 1000 < 30], "page_id long, url string, y int")
+    said = {r["page_id"]: r["verdict"] for r in urls.judge(few, rules=(), label="y").collect()}
+    assert {k for k in range(100) if said[1000 * k] == "block"} == {0}
+    hot = [(i, f"http://hot.example.com/{'de' if i % 100 == 0 else 'sec' + chr(97 + i % 25) + chr(97 + i // 25 % 4)}/x", None) for i in range(12_000)]
+    hot += [(20_000 + i, "http://a.org/fr/x", None) for i in range(300)]
+    said = Counter(r["verdict"] for r in urls.judge(spark.createDataFrame(hot, "page_id long, url string, y int")).collect())
+    assert said == Counter(block=120, allow=12_180)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
