@@ -7,7 +7,8 @@ and the language that needs least wins.
 
 The automata become dense transition tables in which a failed step leads straight back to the start
 state and counts a phrase, so one table look-up is done per character and language, for thousands of
-text windows at once.
+text windows at once. Steps by characters that are rare in all samples together are sorted lists instead,
+found by binary search, so every automaton keeps every character of its sample.
 
 Cases: a null text or one without a letter is ``und`` with score 0. Repeated rows get equal answers.
 An empty table gives an empty result. Columns named like the answers are replaced; others are kept.
@@ -36,7 +37,7 @@ SAMPLE_CHARS = 20_000
 MOST_LANGUAGES = 256
 #: Phrases end at the borders of windows of this many characters, which bounds the steps of a batch.
 WINDOW = 512
-#: Different characters that an automaton tells apart; the rest never match.
+#: Different characters, commonest first, that have columns in the dense tables; steps by the others are sparse.
 MOST_SYMBOLS = 127
 
 
@@ -45,6 +46,9 @@ class LanguageModel:
     languages: list[str]
     symbols: np.ndarray  # of each code point: 0 for one that never matches
     steps: np.ndarray  # of all automata: 4 * (offset of the next state's row) + phrases that end here
+    width: int  # of a row; steps by symbols from here on are sparse
+    rare: np.ndarray  # sorted: offset of a state's row << 21 | symbol
+    rare_steps: np.ndarray  # the step of each, as in steps
     starts: np.ndarray  # offset of each automaton's start state
     bits: np.ndarray  # log2 of each sample's length
 
@@ -100,12 +104,13 @@ def build(samples: dict[str, str]) -> LanguageModel:
     languages = sorted(samples)
     texts = [folded([samples[x]])[0] for x in languages]
     found, count = np.unique(np.concatenate([*texts, np.zeros(0, np.int64)]), return_counts=True)
-    known = found[np.lexsort((found, -count))][:MOST_SYMBOLS].astype(np.int64)
-    symbols = np.zeros(0x110000, dtype=np.uint8)
+    known = found[np.lexsort((found, -count))].astype(np.int64)
+    symbols = np.zeros(0x110000, dtype=np.int32)
     symbols[known] = np.arange(1, len(known) + 1)
-    width, tables, starts, base = len(known) + 1, [], [], 0
+    width, tables, starts, base = min(len(known), MOST_SYMBOLS) + 1, [], [], 0
+    sparse: dict[int, int] = {}
     for text in texts:
-        moves = suffix_automaton([int(x) for x in symbols[text.astype(np.int64)] if x])
+        moves = suffix_automaton(symbols[text.astype(np.int64)].tolist())
         root = np.array([base + moves[0].get(c, 0) * width for c in range(width)], dtype=np.int64)
         known_at_root = np.array([c in moves[0] for c in range(width)])
         # A failed step ends one phrase and starts anew with this character; one that never matches is a phrase too.
@@ -113,14 +118,19 @@ def build(samples: dict[str, str]) -> LanguageModel:
         dense = np.tile(failed, (len(moves), 1))
         for state, row in enumerate(moves):
             for c, to in row.items():
-                dense[state, c] = (base + to * width) * 4
+                if c < width:
+                    dense[state, c] = (base + to * width) * 4
+                else:
+                    sparse[base + state * width << 21 | c] = (base + to * width) * 4
         dense[0, ~known_at_root] = base * 4 + 1
         starts.append(base)
         base += len(moves) * width
         tables.append(dense.ravel())
     steps = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int64)
     bits = np.array([log2(max(2, len(t))) for t in texts])
-    return LanguageModel(languages, symbols, steps.astype(np.int32 if base < 1 << 28 else np.int64), np.array(starts, dtype=np.int64), bits)
+    rare = np.array(sorted(sparse), dtype=np.int64)
+    rare_steps = np.array([sparse[x] for x in rare.tolist()], dtype=np.int64)
+    return LanguageModel(languages, symbols, steps.astype(np.int32 if base < 1 << 28 else np.int64), width, rare, rare_steps, np.array(starts, dtype=np.int64), bits)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", learn: Column | None = None) -> LanguageModel:
@@ -143,12 +153,26 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return build(samples)
 
 
+def rare_steps(model: LanguageModel, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The steps of each automaton's states by symbols that have no column."""
+
+    def look(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wanted = at.astype(np.int64) << 21 | symbol
+        place = np.minimum(np.searchsorted(model.rare, wanted), len(model.rare) - 1)
+        return model.rare[place] == wanted, model.rare_steps[place]
+
+    start = np.broadcast_to(model.starts[:, None], state.shape)
+    (goes, to), (begins, anew) = look(state), look(start)
+    return np.where(goes, to, np.where(begins, anew + 1, start * 4 + np.where(state == start, 1, 2)))
+
+
 def entropies(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: bits a character by each language; whether it has a letter."""
     flat, lengths = folded(texts)
     ends = np.cumsum(lengths)
     lettered = lengths > 0
     symbols = model.symbols[flat.astype(np.int64)].astype(np.int64)
+    sparse = bool((symbols >= model.width).any())
     windows = -(-lengths // WINDOW)
     of = np.repeat(np.arange(len(texts)), windows)
     first = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
@@ -161,7 +185,13 @@ def entropies(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.nd
     phrases = np.ones(state.shape, dtype=np.int64)  # the last phrase of each window ends with it
     for at in range(int(size[0]) if len(size) else 0):
         n = active[at]
-        step = model.steps[state[:, :n] + symbols[first[:n] + at]]
+        symbol = symbols[first[:n] + at]
+        if sparse:
+            step = model.steps[state[:, :n] + np.where(symbol < model.width, symbol, 0)]
+            some = np.flatnonzero(symbol >= model.width)
+            step[:, some] = rare_steps(model, state[:, some], symbol[some])
+        else:
+            step = model.steps[state[:, :n] + symbol]
         phrases[:, :n] += step & 3
         state[:, :n] = step >> 2
     total = np.array([np.bincount(of, weights=row, minlength=len(texts)) for row in phrases]).reshape(len(model.languages), len(texts))

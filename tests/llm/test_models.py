@@ -42,6 +42,22 @@ def test_parse_equals_substring_search():
     assert langid.predict(model, ["abracadabra", "brown fox"])[0] == ["a", "b"]
 
 
+def test_languages_of_many_scripts():
+    """Each language keeps all letters of its sample, however many the others have; parses stay exact."""
+    rng = np.random.default_rng(4)
+    alphabets = {"han": range(0x4E00, 0x5600), "ko": range(0xAC00, 0xB000), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "th": range(0xE01, 0xE2F), "en": range(97, 123)}
+    common = {x: ["".join(chr(rng.choice(a)) for _ in range(4)) for _ in range(60)] for x, a in alphabets.items()}
+    text = lambda x, n: " ".join(rng.choice(common[x], n))
+    samples = {x: text(x, 30 if x in ("el", "th") else 600) for x in alphabets}
+    model = langid.build(samples)
+    texts = [text(x, 12) for x in alphabets]
+    assert langid.predict(model, texts)[0] == list(alphabets)
+    got, _ = langid.entropies(model, texts)
+    for i, name in enumerate(model.languages):
+        bits = log2(len(samples[name]))
+        assert all(abs(got[i, j] * len(t) / bits - phrases(samples[name], t)) <= 2 for j, t in enumerate(texts))
+
+
 def test_language_of_held_out_documents(spark):
     rows = catalog.op5_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
