@@ -110,6 +110,20 @@ class _Rest:
         return lead + self.stream.read(n - len(lead)) if len(lead) < n else lead
 
 
+class _Inflated:
+    """What a member holds, decompressed as it is read."""
+
+    def __init__(self, stream, inflate):
+        self.stream, self.inflate, self.held = stream, inflate, bytearray()
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) < n and not self.inflate.eof and (part := self.stream.read(1 << 16)):
+            self.held += self.inflate.decompress(part)
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
 def _plain(stream, wanted: Wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """One uncompressed record."""
     head = bytearray()
@@ -132,7 +146,7 @@ def _plain(stream, wanted: Wanted, payload: bool) -> Iterator[tuple[dict[str, st
 
 
 def _member(stream, wanted: Wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """One gzip member: decompressed as a whole only if it is wanted or doesn't say its length."""
+    """The records of one gzip member: decompressed only if wanted or if it doesn't say its length."""
     _, flags, _, _, _ = struct.unpack("<BBIBB", stream.read(8))
     extra = stream.read(struct.unpack("<H", stream.read(2))[0]) if flags & 4 else b""
     for bit in (8, 16):  # name, comment
@@ -156,14 +170,10 @@ def _member(stream, wanted: Wanted, payload: bool) -> Iterator[tuple[dict[str, s
             raise ValueError("a record's checksum is wrong")
         yield headers, payload_of(headers, block[: int(headers["Content-Length"])])
         return
-    whole = bytearray()
-    while not inflate.eof and (part := stream.read(1 << 16)):
-        whole += inflate.decompress(part)
+    inner = _Inflated(stream, inflate)
+    while lead := inner.read(1):  # other writers may put many records into one member
+        yield from _plain(_Rest(lead, inner), wanted, payload)
     stream.seek(8 - len(inflate.unused_data), 1)
-    head, _, block = bytes(whole).partition(b"\r\n\r\n")
-    headers = parse(head)
-    if wanted.take(headers):
-        yield headers, payload_of(headers, block[: int(headers.get("Content-Length", 0))]) if payload else None
 
 
 class FilePart(InputPartition):

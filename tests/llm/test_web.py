@@ -59,6 +59,16 @@ def test_pushdown_and_other_writers(spark):
     assert gzip.decompress(own).endswith(b"\r\n\r\nbody\r\n\r\n")
 
 
+def test_a_member_of_many_records():
+    """A file compressed as a whole gives all its records, and so do members after it."""
+    record = lambda i, n: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {n}\r\n\r\n".encode() + b"x" * n + b"\r\n\r\n"
+    raw = gzip.compress(record(0, 5) + record(1, 0) + record(2, 300_000)) + gzip.compress(record(3, 7))
+    found = [(h["WARC-Record-ID"], len(p)) for h, p in warc.records(io.BytesIO(raw), warc.Wanted({}, {}), True)]
+    assert found == [("<urn:0>", 5), ("<urn:1>", 0), ("<urn:2>", 300_000), ("<urn:3>", 7)]
+    some = warc.Wanted({"WARC-Record-ID": {"<urn:2>", "<urn:3>"}}, {})
+    assert [h["WARC-Record-ID"] for h, _ in warc.records(io.BytesIO(raw), some, False)] == ["<urn:2>", "<urn:3>"]
+
+
 def test_urls_equal_sql(spark, duck):
     same(urls.judge(spark.read.parquet(f"{SF}/pages.parquet")), duck, urls.judge_sql())
 
