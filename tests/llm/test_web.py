@@ -6,8 +6,11 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from glyphlake.llm import catalog, urls, warc
 from glyphlake.sources.files import new_path
 from tests.conftest import SF, same
@@ -111,6 +114,21 @@ def test_sections_of_many_siblings_keep_their_labels(spark):
     assert said == Counter(block=120, allow=12_180)
 
 
+def test_language_stage_rejects_what_fits_no_language(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(3)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400))
+    rows = [(-1, noise, None, "s", 400), (-2, "Это предложение на языке, которого модель не знает. " * 3, None, "s", 150), (-3, "zq", None, "s", 2), (-4, "12 !", None, "s", 4), (-5, None, None, "s", 0)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(odd), SF)
+    assert {r["doc_id"] for r in kept.where("doc_id < 0").collect()} == {-3}
+    lettered = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert kept.where("doc_id >= 0").count() >= 0.99 * lettered
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, odd, SF).collect()} == {-1, -2, -3}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
