@@ -13,12 +13,13 @@ directly over the exchanges of written tables, so that adaptive execution can sp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.shared import written
+from glyphlake.llm.shared import discard, written
 
 #: Pairs that remain, for each row of the buckets that hold them, below which all of them are tested.
 FEW = 8.0
@@ -26,6 +27,8 @@ FEW = 8.0
 BLOCK = 256
 #: Rounds of single probes before all remaining pairs are tested, however many.
 ROUNDS = 6
+#: Bands of sizes are wider than the ratio by this factor, for sizes that round.
+BAND_SLACK = 1.2
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -44,12 +47,16 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         jump = written(jump, f"{label}-jump")
         hi, lo = jump.toDF("hi", "rhi"), jump.toDF("lo", "rlo")
         moved = left.join(hi, "hi").select("lo", "rhi").join(lo, "lo")
-        left = written(moved.select(F.greatest("rhi", "rlo").alias("hi"), F.least("rhi", "rlo").alias("lo")).where("hi > lo").distinct(), f"{label}-edges")
+        before, left = left, written(moved.select(F.greatest("rhi", "rlo").alias("hi"), F.least("rhi", "rlo").alias("lo")).where("hi > lo").distinct(), f"{label}-edges")
+        discard(before, first)
         if found is None:
-            found = jump.toDF("node", "root")
+            found = written(jump.toDF("node", "root"), f"{label}-roots")
         else:
             on = jump.toDF("root", "next")
-            found = written(found.join(on, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"{label}-roots")
+            before, found = found, written(found.join(on, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"{label}-roots")
+            discard(before)
+        discard(jump)
+    discard(left)
     return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0) if found is None else found
 
 
@@ -57,23 +64,35 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, by_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _alike(a: Column, b: Column, ratio: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(ratio) - 1
+
+
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, by_blocks: Callable[[DataFrame], DataFrame] | None = None, ratio: float | None = None) -> DataFrame:
     """Components (node, root) of the linked nodes, from buckets (key, node).
 
     ``verify`` takes different pairs (a, b) and keeps those that are linked. ``by_blocks`` takes what
-    ``blocks`` gives and returns links (a, b) that connect all linked nodes of a block.
+    ``blocks`` gives and returns links (a, b) that connect all linked nodes of a block. With ``ratio``
+    the buckets have a column ``size``, and nodes whose sizes differ by more than that are never linked.
     """
-    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other")
-    centres = written(centres.select("key", "centre"), f"{label}-centres")
+    if ratio is None:
+        buckets = buckets.select("key", "node", F.lit(1).alias("size"))
+    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.min_by("size", "node").alias("centre_size")).where("centre < other")
+    centres = written(centres.select("key", "centre", "centre_size"), f"{label}-centres")
     rows = written(buckets.join(centres, "key"), f"{label}-buckets")
-    edges = written(verify(_ordered(rows.select(F.col("centre").alias("a"), F.col("node").alias("b")))), f"{label}-links")
+    discard(centres)
+    alike = _alike(F.col("size"), F.col("centre_size"), ratio or 0.0)
+    edges = written(verify(_ordered(rows.where(alike).select(F.col("centre").alias("a"), F.col("node").alias("b")))), f"{label}-links")
     roots = components(edges, label)
-    before = None
+    before, marked = None, None
     for round_ in range(ROUNDS + 1):
+        if marked is not None:
+            discard(marked)
         marked = written(_rooted(_rooted(rows, roots, "node"), roots, "centre"), f"{label}-marked")
         unlike: Column = F.col("node_root") != F.col("centre_root")
-        probe = F.min_by("node", F.when(~unlike, F.xxhash64("node", F.lit(round_)))).alias("probe")
-        sums = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u"), probe).where("u > 0 and n > 2")
+        own = F.when(~unlike, F.xxhash64("node", F.lit(round_)))
+        probe = [F.min_by("node", own).alias("probe"), F.min_by("size", own).alias("probe_size")]
+        sums = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u"), *probe).where("u > 0 and n > 2")
         sums = written(sums, f"{label}-mixed")
         size = sums.agg(F.sum(F.col("n") * F.col("u")), F.sum("n")).first()
         if not size[0]:
@@ -81,22 +100,31 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: st
         if by_blocks:
             more = written(by_blocks(blocks(marked.join(sums.select("key"), "key", "left_semi"), label)), f"{label}-links")
             return roots if more.isEmpty() else components(edges.unionByName(more), label)
-        mixed = marked.where(unlike).join(sums.select("key", "probe"), "key")
+        mixed = marked.where(unlike).join(sums.select("key", "probe", "probe_size"), "key")
         last = round_ == ROUNDS or size[0] <= FEW * size[1] or before is not None and size[0] > 0.9 * before
         if last:
-            mixed = written(mixed, f"{label}-unlike")
-            every = marked.join(sums.select("key"), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("node_root").alias("b_root"))
-            both = mixed.select("key", F.col("node").alias("a"), F.col("node_root").alias("a_root")).join(written(every, f"{label}-every"), "key")
-            pairs = both.where("a_root != b_root").select("a", "b")
+            # Of two nodes of like size, one is in the other's band of sizes or in the next one.
+            band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log((1 / ratio) * BAND_SLACK)).cast("int") if ratio else F.lit(0)
+            mixed = written(mixed.withColumn("band", band), f"{label}-unlike")
+            every = marked.join(sums.select("key"), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("node_root").alias("b_root"), F.col("size").alias("b_size"), band.alias("band"))
+            every = written(every.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)) if ratio else F.col("band")), f"{label}-every")
+            both = mixed.select("key", "band", F.col("node").alias("a"), F.col("node_root").alias("a_root"), F.col("size").alias("a_size")).join(every, ["key", "band"])
+            pairs = both.where((F.col("a_root") != F.col("b_root")) & _alike(F.col("a_size"), F.col("b_size"), ratio or 0.0)).select("a", "b")
         else:
-            pairs = mixed.select(F.col("probe").alias("a"), F.col("node").alias("b"))
+            every = None
+            pairs = mixed.where(_alike(F.col("size"), F.col("probe_size"), ratio or 0.0)).select(F.col("probe").alias("a"), F.col("node").alias("b"))
         before = size[0]
         more = written(verify(_ordered(pairs)), f"{label}-links")
+        if every is not None:
+            discard(mixed, every)
+        discard(sums)
         if not more.isEmpty():
             edges = edges.unionByName(more)
-            roots = components(edges, label)
+            old, roots = roots, components(edges, label)
+            discard(old)
         if last:
             break
+    discard(rows, marked)
     return roots
 
 
