@@ -5,7 +5,7 @@ node; members that join its group need no further test there. Those that don't a
 every member of their bucket that is in another group: by blocks, which hold the members themselves and
 never rows of pairs, or, where no Python may run, against further members of the centre's group, one a
 round, and then as pairs. So each pair of a bucket is either tested or known to be connected: the
-groups are those that testing every pair would give.
+groups are those that testing every pair would give. ``link_sized`` spares large buckets of unlike nodes that.
 
 All tables have narrow rows of 64-bit numbers. Nothing but counts reaches the driver. Joins stand
 directly over the exchanges of written tables, so that adaptive execution can split a hot key.
@@ -64,35 +64,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def _alike(a: Column, b: Column, ratio: float) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(ratio) - 1
-
-
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, by_blocks: Callable[[DataFrame], DataFrame] | None = None, ratio: float | None = None) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, by_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (node, root) of the linked nodes, from buckets (key, node).
 
     ``verify`` takes different pairs (a, b) and keeps those that are linked. ``by_blocks`` takes what
-    ``blocks`` gives and returns links (a, b) that connect all linked nodes of a block. With ``ratio``
-    the buckets have a column ``size``, and nodes whose sizes differ by more than that are never linked.
+    ``blocks`` gives and returns links (a, b) that connect all linked nodes of a block.
     """
-    if ratio is None:
-        buckets = buckets.select("key", "node", F.lit(1).alias("size"))
-    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.min_by("size", "node").alias("centre_size")).where("centre < other")
-    centres = written(centres.select("key", "centre", "centre_size"), f"{label}-centres")
+    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other")
+    centres = written(centres.select("key", "centre"), f"{label}-centres")
     rows = written(buckets.join(centres, "key"), f"{label}-buckets")
-    discard(centres)
-    alike = _alike(F.col("size"), F.col("centre_size"), ratio or 0.0)
-    edges = written(verify(_ordered(rows.where(alike).select(F.col("centre").alias("a"), F.col("node").alias("b")))), f"{label}-links")
+    edges = written(verify(_ordered(rows.select(F.col("centre").alias("a"), F.col("node").alias("b")))), f"{label}-links")
     roots = components(edges, label)
-    before, marked = None, None
+    before = None
     for round_ in range(ROUNDS + 1):
-        if marked is not None:
-            discard(marked)
         marked = written(_rooted(_rooted(rows, roots, "node"), roots, "centre"), f"{label}-marked")
         unlike: Column = F.col("node_root") != F.col("centre_root")
-        own = F.when(~unlike, F.xxhash64("node", F.lit(round_)))
-        probe = [F.min_by("node", own).alias("probe"), F.min_by("size", own).alias("probe_size")]
-        sums = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u"), *probe).where("u > 0 and n > 2")
+        probe = F.min_by("node", F.when(~unlike, F.xxhash64("node", F.lit(round_)))).alias("probe")
+        sums = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u"), probe).where("u > 0 and n > 2")
         sums = written(sums, f"{label}-mixed")
         size = sums.agg(F.sum(F.col("n") * F.col("u")), F.sum("n")).first()
         if not size[0]:
@@ -100,31 +88,87 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: st
         if by_blocks:
             more = written(by_blocks(blocks(marked.join(sums.select("key"), "key", "left_semi"), label)), f"{label}-links")
             return roots if more.isEmpty() else components(edges.unionByName(more), label)
-        mixed = marked.where(unlike).join(sums.select("key", "probe", "probe_size"), "key")
+        mixed = marked.where(unlike).join(sums.select("key", "probe"), "key")
         last = round_ == ROUNDS or size[0] <= FEW * size[1] or before is not None and size[0] > 0.9 * before
         if last:
-            # Of two nodes of like size, one is in the other's band of sizes or in the next one.
-            band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log((1 / ratio) * BAND_SLACK)).cast("int") if ratio else F.lit(0)
-            mixed = written(mixed.withColumn("band", band), f"{label}-unlike")
-            every = marked.join(sums.select("key"), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("node_root").alias("b_root"), F.col("size").alias("b_size"), band.alias("band"))
-            every = written(every.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)) if ratio else F.col("band")), f"{label}-every")
-            both = mixed.select("key", "band", F.col("node").alias("a"), F.col("node_root").alias("a_root"), F.col("size").alias("a_size")).join(every, ["key", "band"])
-            pairs = both.where((F.col("a_root") != F.col("b_root")) & _alike(F.col("a_size"), F.col("b_size"), ratio or 0.0)).select("a", "b")
+            mixed = written(mixed, f"{label}-unlike")
+            every = marked.join(sums.select("key"), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("node_root").alias("b_root"))
+            both = mixed.select("key", F.col("node").alias("a"), F.col("node_root").alias("a_root")).join(written(every, f"{label}-every"), "key")
+            pairs = both.where("a_root != b_root").select("a", "b")
         else:
-            every = None
-            pairs = mixed.where(_alike(F.col("size"), F.col("probe_size"), ratio or 0.0)).select(F.col("probe").alias("a"), F.col("node").alias("b"))
+            pairs = mixed.select(F.col("probe").alias("a"), F.col("node").alias("b"))
         before = size[0]
         more = written(verify(_ordered(pairs)), f"{label}-links")
-        if every is not None:
-            discard(mixed, every)
-        discard(sums)
         if not more.isEmpty():
             edges = edges.unionByName(more)
-            old, roots = roots, components(edges, label)
-            discard(old)
+            roots = components(edges, label)
         if last:
             break
-    discard(rows, marked)
+    return roots
+
+
+def _alike(a: Column, b: Column, ratio: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(ratio) - 1
+
+
+def _star(buckets: DataFrame, ratio: float, label: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets with their centre, the smallest node; and the pairs (a, b) of nodes with centres of like size."""
+    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.min_by("size", "node").alias("centre_size")).where("centre < other")
+    centres = written(centres.select("key", "centre", "centre_size"), f"{label}-centres")
+    rows = written(buckets.join(centres, "key"), f"{label}-rows")
+    discard(centres)
+    return rows, _ordered(rows.where(_alike(F.col("size"), F.col("centre_size"), ratio)).select(F.col("centre").alias("a"), F.col("node").alias("b")))
+
+
+def _mixed(rows: DataFrame, roots: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with the roots of node and centre, and the keys of buckets in which some differ."""
+    marked = written(_rooted(_rooted(rows, roots, "node"), roots, "centre"), f"{label}-marked")
+    unlike = F.col("node_root") != F.col("centre_root")
+    keys = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u")).where("u > 0 and n > 2").select("key")
+    return marked, written(keys, f"{label}-mixed")
+
+
+def link_sized(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, ratio: float) -> DataFrame:
+    """Components (node, root), from buckets (key, node, size) of nodes that have several keys each.
+
+    Nodes whose sizes differ by more than ``ratio`` are never linked. Each node is tested against the
+    smallest of each of its buckets. Buckets with nodes that are not in its group are then dealt into
+    finer ones, whose nodes share two keys, and in those all pairs of like size that are not yet
+    connected are tested: a key that many unlike nodes share costs its rows, not their square.
+    """
+    rows, pairs = _star(buckets, ratio, label)
+    edges = written(verify(pairs), f"{label}-links")
+    roots = components(edges, label)
+    marked, keys = _mixed(rows, roots, label)
+    if keys.isEmpty():
+        discard(rows, marked, keys)
+        return roots
+    some = marked.join(keys, "key", "left_semi").select("node", "size", F.col("key").alias("k"))
+    both = some.join(rows.select("node", F.col("key").alias("other")), "node").where("k != other")
+    finer = written(both.select(F.xxhash64(F.least("k", "other"), F.greatest("k", "other")).alias("key"), "node", "size").distinct(), f"{label}-finer")
+    discard(rows, marked, keys)
+    rows, pairs = _star(finer, ratio, label)
+    discard(finer)
+    pairs = _rooted(_rooted(pairs, roots, "a"), roots, "b").where("a_root != b_root").select("a", "b")
+    edges = edges.unionByName(written(verify(pairs), f"{label}-links"))
+    before, roots = roots, components(edges, label)
+    discard(before)
+    marked, keys = _mixed(rows, roots, label)
+    discard(rows)
+    if not keys.isEmpty():
+        # Of two nodes of like size, one is in the other's band of sizes or in the next one.
+        band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(BAND_SLACK / ratio)).cast("int")
+        some = marked.join(keys, "key", "left_semi").withColumn("band", band)
+        unlike = written(some.where("node_root != centre_root").select("key", "band", F.col("node").alias("a"), F.col("node_root").alias("a_root"), F.col("size").alias("a_size")), f"{label}-unlike")
+        bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+        every = written(some.select("key", bands, F.col("node").alias("b"), F.col("node_root").alias("b_root"), F.col("size").alias("b_size")), f"{label}-every")
+        left = (F.col("a_root") != F.col("b_root")) & _alike(F.col("a_size"), F.col("b_size"), ratio)
+        more = written(verify(_ordered(unlike.join(every, ["key", "band"]).where(left).select("a", "b"))), f"{label}-links")
+        discard(unlike, every)
+        if not more.isEmpty():
+            before, roots = roots, components(edges.unionByName(more), label)
+            discard(before)
+    discard(marked, keys)
     return roots
 
 
