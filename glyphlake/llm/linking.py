@@ -13,7 +13,6 @@ directly over the exchanges of written tables, so that adaptive execution can sp
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +26,6 @@ FEW = 8.0
 BLOCK = 256
 #: Rounds of single probes before all remaining pairs are tested, however many.
 ROUNDS = 6
-#: Bands of sizes are wider than the ratio by this factor, for sizes that round.
-BAND_SLACK = 1.2
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -133,8 +130,9 @@ def link_sized(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], lab
 
     Nodes whose sizes differ by more than ``ratio`` are never linked. Each node is tested against the
     smallest of each of its buckets. Buckets with nodes that are not in its group are then dealt into
-    finer ones, whose nodes share two keys, and in those all pairs of like size that are not yet
-    connected are tested: a key that many unlike nodes share costs its rows, not their square.
+    finer ones, whose nodes share two keys, and each node is tested against the smallest of each of
+    those. So a key that many unlike nodes share costs its rows, not their square, and a pair is found
+    if one of the buckets and finer buckets that it shares has no smaller node unlike both.
     """
     rows, pairs = _star(buckets, ratio, label)
     edges = written(verify(pairs), f"{label}-links")
@@ -153,22 +151,7 @@ def link_sized(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], lab
     edges = edges.unionByName(written(verify(pairs), f"{label}-links"))
     before, roots = roots, components(edges, label)
     discard(before)
-    marked, keys = _mixed(rows, roots, label)
     discard(rows)
-    if not keys.isEmpty():
-        # Of two nodes of like size, one is in the other's band of sizes or in the next one.
-        band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(BAND_SLACK / ratio)).cast("int")
-        some = marked.join(keys, "key", "left_semi").withColumn("band", band)
-        unlike = written(some.where("node_root != centre_root").select("key", "band", F.col("node").alias("a"), F.col("node_root").alias("a_root"), F.col("size").alias("a_size")), f"{label}-unlike")
-        bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-        every = written(some.select("key", bands, F.col("node").alias("b"), F.col("node_root").alias("b_root"), F.col("size").alias("b_size")), f"{label}-every")
-        left = (F.col("a_root") != F.col("b_root")) & _alike(F.col("a_size"), F.col("b_size"), ratio)
-        more = written(verify(_ordered(unlike.join(every, ["key", "band"]).where(left).select("a", "b"))), f"{label}-links")
-        discard(unlike, every)
-        if not more.isEmpty():
-            before, roots = roots, components(edges.unionByName(more), label)
-            discard(before)
-    discard(marked, keys)
     return roots
 
 
