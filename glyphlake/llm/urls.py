@@ -9,8 +9,9 @@ with the rule's; the longest wins. What no rule fits is judged by the method:
    theirs, so a section keeps its own labels however many siblings it has.
 2. Statistically similar branches (first segments) of a host are merged: those whose commonest template
    is the same and whose smoothed share of blocked labels does not differ significantly from the pooled.
-3. A template is rejected if its share of blocked labels, smoothed towards its branch's and that towards
-   the whole table's, reaches ``PURITY``.
+   A branch without labels shows no likeness and is never merged.
+3. A template is rejected if its branch has labels and its share of blocked ones, smoothed towards its
+   branch's and that towards the whole table's, reaches ``PURITY``.
 
 The labels are the verdicts of the rules unless a column of labels is given (1: block, 0: allow).
 
@@ -115,11 +116,11 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple
     branch = child.groupBy("host", "g1").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.max(F.struct("n", "rest"))["rest"].alias("common"))
     alike = Window.partitionBy("host", "common")
     branch = branch.withColumn("pl", F.sum("l").over(alike)).withColumn("pb", F.sum("b").over(alike))
-    merged = ~_unlike("b", "l", "pb", "pl", base)
+    merged = (F.col("l") > 0) & ~_unlike("b", "l", "pb", "pl", base)  # a branch without labels is like no other
     branch = branch.select("host", "g1", F.when(merged, F.concat(F.lit("{"), "common", F.lit("}"))).otherwise(F.col("g1")).alias("m1"))
     top, leaf = Window.partitionBy("host", "m1"), Window.partitionBy("host", "m1", "rest")
     own = _rate(F.sum("b").over(leaf), F.sum("l").over(leaf), _rate(F.sum("b").over(top), F.sum("l").over(top), base))
-    said = F.when(own >= PURITY, "block").otherwise("allow").alias("said")
+    said = F.when((own >= PURITY) & (F.sum("l").over(top) > 0), "block").otherwise("allow").alias("said")
     judged = child.join(branch, ["host", "g1"]).select("host", "g1", "rest", F.concat_ws("/", F.lit(""), "m1", "rest").alias("template"), said)
     judged = written(judged, "url-judged")
     judged = written(tree.join(judged, ["host", "g1", "rest"]).select(*shape, "template", "said"), "url-answers")
@@ -158,9 +159,9 @@ c AS (SELECT host, g1, rest, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM t GROUP
 g AS (SELECT host, g1, sum(l) AS l, sum(b) AS b, max({{'n': n, 'rest': rest}}).rest AS common FROM c GROUP BY host, g1),
 g2 AS (SELECT *, sum(l) OVER w AS pl, sum(b) OVER w AS pb FROM g WINDOW w AS (PARTITION BY host, common)),
 g3 AS (SELECT *, {rate("b", "l", "p0")} AS r, {rate("pb", "pl", "p0")} AS p FROM g2, base),
-g4 AS (SELECT host, g1, CASE WHEN abs(r - p) <= {SIGNIFICANT}::DOUBLE * sqrt({var("r", "l")} + {var("p", "pl")}) THEN '{{' || common || '}}' ELSE g1 END AS m1 FROM g3),
+g4 AS (SELECT host, g1, CASE WHEN l > 0 AND abs(r - p) <= {SIGNIFICANT}::DOUBLE * sqrt({var("r", "l")} + {var("p", "pl")}) THEN '{{' || common || '}}' ELSE g1 END AS m1 FROM g3),
 j AS (SELECT t.*, m1, p0, sum(b) OVER (PARTITION BY host, m1) AS tb, sum(l) OVER (PARTITION BY host, m1) AS tl,
     sum(b) OVER (PARTITION BY host, m1, rest) AS lb, sum(l) OVER (PARTITION BY host, m1, rest) AS ll FROM t JOIN g4 USING (host, g1), base),
-k AS (SELECT {shape}, '/' || m1 || '/' || rest AS template, CASE WHEN {rate("lb", "ll", rate("tb", "tl", "p0"))} >= {PURITY}::DOUBLE THEN 'block' ELSE 'allow' END AS said FROM j)
+k AS (SELECT {shape}, '/' || m1 || '/' || rest AS template, CASE WHEN tl > 0 AND {rate("lb", "ll", rate("tb", "tl", "p0"))} >= {PURITY}::DOUBLE THEN 'block' ELSE 'allow' END AS said FROM j)
 SELECT page_id, host, path, rule, coalesce(action, said) AS verdict, template FROM r JOIN k USING ({shape})
 """

@@ -2,8 +2,9 @@
 
 Writing: each task writes ``.warc.gz`` files with one gzip member per record. A member's header holds
 an extra field with the member's length, so a reader that has seen a record's headers can step over
-the rest of it. The files of the tasks that were committed are listed in ``_manifest``; those of lost
-or repeated tasks are not, and readers ignore them.
+the rest of it. The files of the tasks that were committed are listed in ``_manifest-*``; those of lost
+or repeated tasks are not, and readers ignore them. Each write adds a list of its own, so a folder can
+be appended to.
 
 Reading: the files are planned into partitions by size. Equality, IN and prefix filters on the record's
 columns and on single named headers are pushed down: headers are parsed first, and the payload of a
@@ -41,6 +42,8 @@ HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_ur
 #: A file is closed beyond this many bytes; a read partition holds files of about as many.
 FILE_BYTES = 128 << 20
 _FIXED_DATE = "2000-01-01T00:00:00Z"
+#: Names of fields that are known in any case, by the lower-case name.
+_KNOWN = {n.lower(): n for n in (*HEADERS.values(), "WARC-Date", "WARC-Profile", "Content-Length", "Content-Type")}
 
 
 def member(headers: list[tuple[str, str]], body: bytes) -> bytes:
@@ -63,12 +66,12 @@ def _line(value: str) -> str:
 
 
 def parse(head: bytes) -> dict[str, str]:
-    """The named fields of a record's header block."""
+    """The named fields of a record's header block; the case of known names doesn't matter."""
     found: dict[str, str] = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            found[name.strip()] = value.strip()
+            found[_KNOWN.get(name.strip().lower(), name.strip())] = value.strip()
     return found
 
 
@@ -84,10 +87,27 @@ class Wanted:
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
-    """The payload of a record's block: an HTTP message's body, else the block itself."""
-    if headers.get("Content-Type", "").startswith("application/http"):
-        return block.partition(b"\r\n\r\n")[2]
-    return block
+    """The payload of a record's block: an HTTP message's body, without its chunks' marks, else the block itself."""
+    if not headers.get("Content-Type", "").lower().startswith("application/http"):
+        return block
+    head, _, body = block.partition(b"\r\n\r\n")
+    coded = (line.lower().partition(b":") for line in head.split(b"\r\n")[1:])
+    return _unchunked(body) if any(k.strip() == b"transfer-encoding" and b"chunked" in v for k, _, v in coded) else body
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The parts of a chunked body, joined; one that isn't chunked as it says stays as it is."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            return body
+        if not size:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return body
 
 
 def records(stream, wanted: Wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -209,11 +229,11 @@ class WarcReader(DataSourceReader):
 
         store, root = _files(self.path)
         infos = store.get_file_info(fs.FileSelector(root))
-        listed = next((i.path for i in infos if i.base_name == "_manifest"), None)
-        names = None
-        if listed:
-            with store.open_input_stream(listed) as f:
-                names = set(json.loads(f.read()))
+        lists = [i.path for i in infos if i.is_file and i.base_name.startswith("_manifest-")]
+        names = set() if lists else None
+        for path in lists:
+            with store.open_input_stream(path) as f:
+                names.update(json.loads(f.read()))
         parts, held, size = [], [], 0
         for info in sorted(infos, key=lambda i: i.path):
             if not info.is_file or info.base_name.startswith(("_", ".")) or names is not None and info.base_name not in names:
@@ -241,8 +261,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """Takes rows (record_type, record_id, target_uri, refers_to, extra map, payload)."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, rows: Iterator) -> Written:
         store, root = _files(self.path)
@@ -263,10 +283,18 @@ class WarcWriter(DataSourceWriter):
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
         store, root = _files(self.path)
         store.create_dir(root)
-        with store.open_output_stream(f"{root}/_manifest", compression=None) as f:
-            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        before = store.get_file_info(fs.FileSelector(root)) if self.overwrite else []
+        names = [n for m in messages if m for n in m.names]
+        with store.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}", compression=None) as f:
+            f.write(json.dumps(names).encode())
+        # What an overwriting write replaces goes last: until then the folder holds both.
+        for info in sorted(before, key=lambda i: not i.base_name.startswith("_manifest-")):
+            if info.is_file and info.base_name not in names:
+                store.delete_file(info.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = _files(self.path)
@@ -298,7 +326,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

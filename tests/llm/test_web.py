@@ -62,6 +62,25 @@ def test_pushdown_and_other_writers(spark):
     assert gzip.decompress(own).endswith(b"\r\n\r\nbody\r\n\r\n")
 
 
+def test_two_archives_in_one_folder(spark):
+    path = new_path(spark, "warc-two")
+    pages = lambda a: spark.createDataFrame([(a + i, "u", f"text {a + i}") for i in range(10)], "page_id long, url string, html string")
+    warc.archive(pages(0), path)
+    warc.archive(pages(100), path)
+    ids = [r[0] for r in warc.read(spark, path).where("record_type = 'response'").select(warc.page_id(F.col("record_id"))).collect()]
+    assert sorted(ids) == [*range(10), *range(100, 110)]
+
+
+def test_headers_in_any_case_and_chunks():
+    record = b"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <urn:x>\r\ncontent-type: application/http; msgtype=response\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n5\r\nhello\r\n3;x=y\r\n\r\nz\r\n0\r\n\r\n"
+    odd = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nnot chunked"
+    raw = record % (len(http), http) + record % (len(odd), odd)
+    for data in (raw, gzip.compress(raw)):
+        found = [(h["WARC-Type"], h["WARC-Record-ID"], p) for h, p in warc.records(io.BytesIO(data), warc.Wanted({}, {}), True)]
+        assert found == [("response", "<urn:x>", b"hello\r\nz"), ("response", "<urn:x>", b"not chunked")]
+
+
 def test_a_member_of_many_records():
     """A file compressed as a whole gives all its records, and so do members after it."""
     record = lambda i, n: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {n}\r\n\r\n".encode() + b"x" * n + b"\r\n\r\n"
@@ -114,6 +133,13 @@ def test_sections_of_many_siblings_keep_their_labels(spark):
     assert said == Counter(block=120, allow=12_180)
 
 
+def test_branches_without_labels_are_left_alone(spark):
+    """Only /de/ is labelled, as bad; its siblings have the same shape and no labels."""
+    rows = [(100 * k + i, f"http://m.example.com/{s}/{i}", None) for k, s in enumerate(("de", "en", "es", "fr")) for i in range(40)]
+    said = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, y int")).collect()}
+    assert {i // 100 for i, v in said.items() if v == "block"} == {0} and sum(v == "block" for v in said.values()) == 40
+
+
 def test_language_stage_rejects_what_fits_no_language(spark):
     import corpus_pipeline
 
