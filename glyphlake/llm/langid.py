@@ -12,7 +12,7 @@ found by binary search, so every automaton keeps every character of its sample.
 
 Cases: a null text or one without a letter is ``und`` with score 0. Repeated rows get equal answers.
 An empty table gives an empty result. Columns named like the answers are replaced; others are kept.
-Without any labelled text everything is ``und``. Ties go to the alphabetically first language.
+Null and repeated keys do no harm when fitting. Without any labelled text everything is ``und``. Ties go to the alphabetically first language.
 """
 
 from __future__ import annotations
@@ -136,14 +136,15 @@ def build(samples: dict[str, str]) -> LanguageModel:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", learn: Column | None = None) -> LanguageModel:
     """Learns from a bounded sample of labelled rows: of each language the rows whose hashed key is lowest."""
     use = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.lit(True) if learn is None else learn))
-    counts = {r[0]: r[1] for r in use.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
+    # Rows without a key are told apart by their texts; of rows that repeat a key one is taken.
+    place = F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key))), F.xxhash64(F.col(text))).bitwiseAND(F.lit((1 << 40) - 1))
+    counts = {r[0]: r[1] for r in use.groupBy(lang).agg(F.approx_count_distinct(place)).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col(lang) == name, min(1.0, 2 * SAMPLE_ROWS / n)).otherwise(share)
-    place = F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 40) - 1))
-    picked = use.where(place < share * float(1 << 40)).select(lang, F.left(text, F.lit(SAMPLE_CHARS)), place).collect()
+    picked = use.where(place < share * float(1 << 40)).groupBy(lang, place.alias("place")).agg(F.min(F.left(text, F.lit(SAMPLE_CHARS))).alias("x")).select(lang, "x", "place").collect()
     samples: dict[str, str] = {}
     for name in counts:
         rows = sorted((r[2], r[1]) for r in picked if r[0] == name)[:SAMPLE_ROWS]

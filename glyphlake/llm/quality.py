@@ -7,7 +7,8 @@ that is fitted by dual coordinate descent. A logistic curve over the margin give
 Cases: a null text counts as empty and is scored by the bias alone. Repeated rows get equal scores.
 An empty table gives an empty result. Columns named like the answers are replaced; others are kept.
 Without labels of both classes every score is the share of label 1 (0.5 without any label). Several
-labels of one document: the lowest counts. Rows with a null label or key teach nothing.
+labels of one document: the lowest counts. Rows with a null label or key teach nothing,
+and of documents that repeat a key one teaches.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from glyphlake.llm.shared import OWN
 
 #: Bound of the fitting sample: labelled documents, those whose hashed key is lowest.
 SAMPLE_ROWS = 4_000
-#: And the characters of each of them that are learnt from (scoring takes whole texts).
-SAMPLE_CHARS = 20_000
 BITS = 16
 ORDERS = (1, 2, 3)
 THRESHOLD = 0.3
@@ -137,11 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Learns from at most ``SAMPLE_ROWS`` labelled documents, the same ones at each run."""
     use = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if learn is None else learn))
     place = F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 40) - 1))
-    n = use.count()
+    n = use.agg(F.approx_count_distinct(place)).first()[0]
     picked = use.where(place < min(1.0, 1.2 * SAMPLE_ROWS / max(n, 1)) * float(1 << 40)).groupBy(key).agg(F.min(label).alias("y"), F.min(place).alias("h"))
     # At most about 1.2 * SAMPLE_ROWS keys are sent out: their number is known before.
-    joined = docs.select(key, F.left(F.coalesce(text, F.lit("")), F.lit(SAMPLE_CHARS)).alias("x")).join(F.broadcast(picked), key)
-    rows = sorted((r["h"], r["x"], r["y"]) for r in joined.select("h", "x", "y").collect())[:SAMPLE_ROWS]
+    joined = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("x")).join(F.broadcast(picked), key)
+    # Of documents that repeat a key one is learnt from, however many there are.
+    once = joined.groupBy("h").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    rows = sorted((r["h"], r["x"], r["y"]) for r in once.collect())[:SAMPLE_ROWS]
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 

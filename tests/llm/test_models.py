@@ -124,3 +124,15 @@ def test_shingles_of_cut_texts_are_complete():
     assert sorted(cut) == whole and len(whole) == 2996
     rows, hashes = textvec.words(["Ab cd", "", "!!", "ab-CD éa"])
     assert rows.tolist() == [0, 0, 3, 3, 3] and hashes[0] == hashes[2] and hashes[1] == hashes[3]
+
+
+def test_null_and_repeated_keys_when_fitting(spark):
+    """Hot keys are learnt from once, so what reaches the driver stays small."""
+    rows = [(None, f"der hund und die katze {chr(97 + i % 20)}", "de") for i in range(3000)] + [(7, "the dog and the cat", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert langid.predict(model, ["the cat"])[0] == ["en"]
+    texts = spark.createDataFrame([(1, "good words here")] * 500 + [(2, "x" * 30_000)] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.scores(quality.fit(texts, labels), ["good words here", "x" * 30_000])
+    assert got[0] > got[1]
