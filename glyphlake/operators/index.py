@@ -267,14 +267,23 @@ class PatternIndex:
         new.write(self.root)
         self.manifest, self._stats = new, {}
 
-    def insert(self, df: DataFrame) -> int:
-        """Adds rows to the pending list; merges when it passes the limit. Returns the rows added."""
+    def insert(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Adds rows to the pending list; merges when it passes the limit. Returns the rows added.
+
+        ``batch``: a stream and its number; one that is in the index already is not added again.
+        """
+        if batch and self.manifest.batches.get(batch[0], -1) >= batch[1]:
+            return 0
+        return self._add(df, self.manifest.tombstones, dict([batch]) if batch else {})
+
+    def _add(self, df: DataFrame, tombstones: list[str], batches: dict[str, int]) -> int:
+        """One generation with rows added, and with what else goes with them."""
         m = self.manifest
         chosen = df.select(*self.columns)
         if m.predicate:
             chosen = chosen.where(m.predicate)
         part = self._store(chosen, f"part-{m.generation + 1}", m.next_rid)
-        self._next(pending=[*m.pending, part], next_rid=m.next_rid + part.rows)
+        self._next(pending=[*m.pending, part], next_rid=m.next_rid + part.rows, tombstones=tombstones, batches=m.batches | batches)
         limit = self.params.pending_limit * 1024
         if limit and sum(p.size for p in self.manifest.pending) > limit:
             self._merge(merging.INLINE)
@@ -282,22 +291,26 @@ class PatternIndex:
 
     def delete(self, condition: Column | str) -> int:
         """Removes the live rows that a condition picks; returns their number."""
+        path, n = self._picked(condition)
+        self._next(tombstones=[*self.manifest.tombstones, path] if n else self.manifest.tombstones)
+        return n
+
+    def _picked(self, condition: Column | str) -> tuple[str, int]:
+        """A new folder with the ids of the live rows that a condition picks; and their number."""
         m = self.manifest
         path = self._folder("dead")
         gone = self._live(self._heap(m.parts + m.frozen + m.pending)).where(condition).select(F.col(RID).alias("val"))
         gone.write.parquet(path)
-        n = self.spark.read.schema("val long").parquet(path).count()
-        self._next(tombstones=[*m.tombstones, path] if n else m.tombstones)
-        return n
+        return path, self.spark.read.schema("val long").parquet(path).count()
 
     def update(self, condition: Column | str, changes: dict[str, Column]) -> int:
-        """Changes rows: they are removed and added again with new ids."""
+        """Changes rows: they are removed and added again with new ids, in one generation."""
         old = self.rows().where(condition)
         new = old.select(*(changes[c].alias(c) if c in changes else F.col(c) for c in self.columns))
         path = self._folder("changed")
         new.write.parquet(path)
-        self.delete(condition)
-        return self.insert(self.spark.read.parquet(path))
+        dead, n = self._picked(condition)
+        return self._add(self.spark.read.parquet(path), [*self.manifest.tombstones, *([dead] if n else [])], {})
 
     def merge_pending(self) -> int:
         """Folds the pending rows into a run and merges runs of like size; returns the rows folded in."""

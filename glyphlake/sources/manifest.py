@@ -54,6 +54,7 @@ class Manifest:
     next_rid: int = 0
     next_run: int = 1
     npages: int = 0
+    batches: dict[str, int] = field(default_factory=dict)  # of each stream: its last batch
     version: int = FORMAT_VERSION
 
     @property

@@ -11,15 +11,13 @@ from glyphlake.operators.index import PatternIndex
 def ingest(stream: DataFrame, index: PatternIndex, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Starts a query that adds the stream's rows to the index.
 
-    A batch that was added but not yet acknowledged comes again after a failure; its number is kept with
-    the rows' folder, so it is not added twice. Size-tiered merges run inside the insert.
+    A batch that was added but not yet acknowledged comes again after a failure; the index's manifest
+    holds the last number of each checkpoint, so it is not added twice. Size-tiered merges run inside the
+    insert.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        if number not in done:
-            index.insert(batch)
-            done.add(number)
+        index.insert(batch, (checkpoint, number))
 
-    done: set[int] = set()
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
