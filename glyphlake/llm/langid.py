@@ -203,7 +203,7 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
     """Language, score (second least entropy over the sum of the two least) and least entropy."""
     whole = [t or "" for t in texts]
     langs, scores, bits = [UNDETERMINED] * len(whole), [0.0] * len(whole), [0.0] * len(whole)
-    for a, b in textvec.slices(whole, 4 * textvec.SLICE_CHARS) if model.languages else ():
+    for a, b in textvec.slices(whole) if model.languages else ():
         got, lettered = entropies(model, whole[a:b])
         best = np.argmin(got, axis=0)
         two = np.sort(got, axis=0)[:2]
