@@ -12,9 +12,10 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from glyphlake.functions.keys import is_exact, is_exact_column, keys_column, shown, shown_column
 from glyphlake.functions.params import IndexParams
@@ -28,6 +29,8 @@ from glyphlake.sources.manifest import FORMAT_VERSION, PAGE_BYTES, Manifest, Par
 RID, PAGE, TASK, PLACE = "__rid", "__page", "__task", "__place"
 #: Lists that a search intersects; more would cost more than the rechecks they spare.
 LISTS = 3
+#: Rows of a Parquet page of the stored rows: what a search can skip at least.
+PAGE_ROWS = 1000
 
 
 def like(pattern: str | None, escape: str | None = "\\") -> Clause:
@@ -94,7 +97,7 @@ class PatternIndex:
         number = F.monotonically_increasing_id()
         ordered = df.repartitionByRange(*self.manifest.order).sortWithinPartitions(*self.manifest.order)
         ordered = ordered.withColumn(TASK, number)
-        ordered.withColumn(PLACE, F.col(TASK).bitwiseAND(F.lit((1 << 33) - 1))).withColumn(TASK, F.shiftright(TASK, 33).cast("int")).write.parquet(path)
+        ordered.withColumn(PLACE, F.col(TASK).bitwiseAND(F.lit((1 << 33) - 1))).withColumn(TASK, F.shiftright(TASK, 33).cast("int")).write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
         size = F.octet_length(self.value)
         sums = self.spark.read.parquet(path).groupBy(TASK).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0)))
         counts = sorted(tuple(r) for r in sums.collect())
@@ -104,20 +107,51 @@ class PatternIndex:
             at += n
         return Part(path, first, at - first_rid, sum(c[2] for c in counts), max((c[3] for c in counts), default=0))
 
-    def _heap(self, parts: list[Part]) -> DataFrame:
-        """The parts' rows with their ids and pages."""
+    def _heap(self, parts: list[Part], within: Column | None = None) -> DataFrame:
+        """The parts' rows with their ids and pages; ``within`` is a condition on where they are stored."""
         found: DataFrame | None = None
+        schema = StructType.fromJson(json.loads(self.manifest.schema)).add(TASK, IntegerType()).add(PLACE, LongType())
         for part in parts:
             if not part.rows:
                 continue
             first = F.create_map(*(x for task, rid in part.first.items() for x in (F.lit(int(task)), F.lit(rid).cast("long"))))
-            own = self.spark.read.parquet(part.path).withColumn(RID, F.element_at(first, F.col(TASK)) + F.col(PLACE)).drop(TASK, PLACE)
+            stored = self.spark.read.schema(schema).parquet(part.path)
+            stored = stored if within is None else stored.where(within)
+            own = stored.withColumn(RID, F.element_at(first, F.col(TASK)) + F.col(PLACE)).drop(TASK, PLACE)
             found = own if found is None else found.unionByName(own)
         if found is None:
             empty = self.spark.createDataFrame([], StructType.fromJson(json.loads(self.manifest.schema)))
             found = empty.withColumn(RID, F.lit(0).cast("long")).limit(0)
         return found.withColumn(PAGE, F.floor(F.col(RID) / self.params.rows_per_page))
 
+    def _stretches(self, parts: list[Part], spans: list[tuple[int, int]]) -> DataFrame:
+        """The parts' rows whose ids lie in the spans, and only those parts and pages of them that hold any.
+
+        The ids of a part rise with the task that wrote a row and its place, and both are stored in that
+        order, so a span is a filter on them that Parquet answers from its statistics.
+        """
+        found: DataFrame | None = None
+        for part in parts:
+            tasks = sorted((rid, int(task)) for task, rid in part.first.items())
+            begins = np.array([rid for rid, _ in tasks], dtype=np.int64)
+            texts = []
+            for low, high in spans:
+                low, high = max(low, int(begins[0])) if tasks else 0, min(high, int(begins[0]) + part.rows - 1) if tasks else -1
+                if low > high:
+                    continue
+                a, b = (int(np.searchsorted(begins, x, "right")) - 1 for x in (low, high))
+                (first_a, task_a), (first_b, task_b) = tasks[a], tasks[b]
+                if a == b:
+                    texts.append(f"{TASK} = {task_a} AND {PLACE} >= {low - first_a} AND {PLACE} <= {high - first_b}")
+                    continue
+                texts += [f"{TASK} = {task_a} AND {PLACE} >= {low - first_a}", f"{TASK} = {task_b} AND {PLACE} <= {high - first_b}"]
+                if b > a + 1:
+                    texts.append(f"{TASK} > {task_a} AND {TASK} < {task_b}")
+            if texts:
+                own = self._heap([part], F.expr(" OR ".join(f"({t})" for t in texts)))
+                found = own if found is None else found.unionByName(own)
+        return self._heap([]) if found is None else found
+
     def _rows(self, heap: DataFrame) -> DataFrame:
         return heap.select(F.col(RID).alias("rid"), F.col(PAGE).alias("page"), self.value.alias("value"))
 
@@ -197,6 +231,39 @@ class PatternIndex:
             rids = one if rids is None else rids.unionByName(one)
         return False, rids.distinct() if extra and rids is not None else rids, pages
 
+    def _spans(self, any_of: list[list[Clause]]) -> list[tuple[int, int]] | None:
+        """Stretches of row ids that hold all candidates; none if the lists to read are beyond the budget.
+
+        The dictionary tells the lengths before a list is read, so what comes to the driver is bounded.
+        The stretches may hold other rows too: the conditions themselves decide on each row.
+        """
+        wanted: list[tuple[list[str], bool]] = []
+        for clauses in any_of:
+            got, special = self._conjunction(clauses), self.stats(["A", "N"])
+            if any(c.pattern is None for c in clauses):
+                continue
+            if not got.keys or got.full and not got.impossible:
+                return None
+            if not got.impossible:
+                exact = bool(got.exact)
+                own = costs.readable(got.exact if exact else got.coarse, costs.BUDGET)[:LISTS]
+                if not own:
+                    return None
+                wanted.append(([s.key for s in own], exact))
+            wanted += [([k], True) for k in ("A", *("N" if got.ilike else "")) if special[k].entries]
+        keys = sorted({k for own, _ in wanted for k in own})
+        if sum(s.entries for s in self.stats(keys).values()) > costs.BUDGET:
+            return None
+        lists, size = postings.fetched(self.spark, self.manifest.runs, keys), self.params.rows_per_page
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own, exact in wanted:
+            values = lists[own[0]]
+            for k in own[1:]:
+                values = np.intersect1d(values, lists[k], assume_unique=True)
+            starts.append(values if exact else values * size)
+            ends.append(values if exact else values * size + size - 1)
+        return costs.spans(np.concatenate(starts), np.concatenate(ends), PAGE_ROWS)
+
     def search(self, any_of: list[list[Clause]], plan: str = "auto") -> DataFrame:
         """The rows for which all conditions of one of the lists hold. ``plan``: auto, index or scan."""
         m = self.manifest
@@ -208,8 +275,9 @@ class PatternIndex:
             condition = condition | own
         if plan == "auto":
             plan = "index" if self._pays(any_of) else "scan"
-        heap = self._heap(m.parts)
-        if plan == "index":
+        spans = self._spans(any_of) if plan == "index" else None
+        heap = self._heap(m.parts) if spans is None else self._stretches(m.parts, spans)
+        if plan == "index" and spans is None:
             rids, pages, whole = None, None, False
             for clauses in any_of:
                 everything, r, p = self._candidates(clauses, False)
@@ -279,7 +347,8 @@ class PatternIndex:
     def _add(self, df: DataFrame, tombstones: list[str], batches: dict[str, int]) -> int:
         """One generation with rows added, and with what else goes with them."""
         m = self.manifest
-        chosen = df.select(*self.columns)
+        schema = StructType.fromJson(json.loads(m.schema))
+        chosen = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
         if m.predicate:
             chosen = chosen.where(m.predicate)
         part = self._store(chosen, f"part-{m.generation + 1}", m.next_rid)
@@ -446,7 +515,7 @@ class PatternIndex:
             est.lossy_pages = float(self._all([s.key for s in got.coarse]).count()) if budget else float(got.coarse[0].entries)
             est.exact = bool(budget)
         else:
-            chosen = costs.readable(got, budget)
+            chosen = costs.readable(got.exact, budget)
             bound = min(nrows * costs.fractions(clauses, self.params, got, nrows, m.npages), got.exact[0].entries)
             if not chosen:
                 est.tids, est.exact = max(bound, 0.0), False

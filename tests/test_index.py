@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import random
+import re
 import shutil
 from functools import reduce
 
+import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.operators.index import PatternIndex, ilike, like
+from glyphlake.operators.index import PAGE_ROWS, PatternIndex, ilike, like
+from glyphlake.plans import estimate as costs
 from glyphlake.plans import merging
 from glyphlake.sources.manifest import Manifest, Run
 from glyphlake.streaming.ingest import ingest
@@ -107,6 +110,39 @@ def test_estimates(spark, tmp_path):
     assert index.candidate_pages("%zzz%").first()[0] == 0
 
 
+def test_a_search_reads_only_where_candidates_are(spark, tmp_path, monkeypatch):
+    """Rows that the scan gives are counted: whole pages of the stored rows are skipped, and whole parts."""
+    df = spark.range(6000, numPartitions=1).select("id", F.concat(F.lit("row "), F.format_string("%06d", "id")).alias("w"))
+    index = PatternIndex.create(df, f"file://{tmp_path}/s", "w", ["id"])
+    index.insert(df.select((F.col("id") + 6000).alias("id"), F.lit("late").alias("w")).limit(50))
+    index.merge_pending()
+    found = index.where(like("row 0031%"), plan="index")
+    assert sorted(r["id"] for r in found.collect()) == list(range(3100, 3200))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and re.search(r"PushedFilters: \[.*__place", plan)
+    spans = index._spans([[like("row 0031%")]])
+    assert any(low <= 3100 and high >= 3199 for low, high in spans) and sum(high - low + 1 for low, high in spans) < 600
+    assert index._spans([[like("%")]]) is None
+    stored = index._stretches(index.manifest.parts, spans).select("id")
+    assert stored.count() == sum(high - low + 1 for low, high in spans)
+    scans = stored._jdf.queryExecution().executedPlan().collectLeaves()
+    rows = [scans.apply(i).metrics().apply("numOutputRows") for i in range(scans.size())]
+    stored._jdf.queryExecution().toRdd().count()
+    assert sum(r.value() for r in rows) <= 2 * PAGE_ROWS
+    # Lists beyond the budget are joined on the executors, with the same result.
+    monkeypatch.setattr(costs, "BUDGET", 10)
+    assert index._spans([[like("row 0031%")]]) is None
+    assert index.where(like("row 0031%"), plan="index").count() == 100
+
+
+def test_spans():
+    got = costs.spans(np.array([5, 0, 9, 40]), np.array([6, 3, 9, 50]), 1)
+    assert got == [(0, 3), (5, 6), (9, 9), (40, 50)]
+    assert costs.spans(np.array([5, 0, 9, 40]), np.array([6, 3, 9, 50]), 3) == [(0, 9), (40, 50)]
+    assert costs.spans(np.array([5, 0, 9, 40]), np.array([6, 3, 9, 50]), 1, 2) == [(0, 9), (40, 50)]
+    assert costs.spans(np.zeros(0), np.zeros(0)) == []
+
+
 def test_a_batch_is_added_once(spark, words, tmp_path):
     """Also by a handle that is opened after a restart, and when the stream's own record of it is lost."""
     index = PatternIndex.create(words.limit(0), f"file://{tmp_path}/i", "w", ["id"])
