@@ -5,7 +5,7 @@ node; members that join its group need no further test there. Those that don't a
 every member of their bucket that is in another group: by blocks, which hold the members themselves and
 never rows of pairs, or, where no Python may run, against further members of the centre's group, one a
 round, and then as pairs. So each pair of a bucket is either tested or known to be connected: the
-groups are those that testing every pair would give. ``link_sized`` spares large buckets of unlike nodes that.
+groups are those that testing every pair would give. ``link_sized`` leaves pairs out within a join.
 
 All tables have narrow rows of 64-bit numbers. Nothing but counts reaches the driver. Joins stand
 directly over the exchanges of written tables, so that adaptive execution can split a hot key.
@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.shared import discard, written
 
+#: Whether two nodes, each given as columns ``size`` and ``sign``, may be linked.
+Maybe = Callable[[dict[str, Column], dict[str, Column]], Column]
+
 #: Pairs that remain, for each row of the buckets that hold them, below which all of them are tested.
 FEW = 8.0
 #: Nodes of a block.
 BLOCK = 256
 #: Rounds of single probes before all remaining pairs are tested, however many.
 ROUNDS = 6
+#: Nodes of one side of a block of a bucket of sized nodes.
+DEALT = 512
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -118,40 +123,70 @@ def _star(buckets: DataFrame, ratio: float, label: str) -> tuple[DataFrame, Data
 
 
 def _mixed(rows: DataFrame, roots: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """The rows with the roots of node and centre, and the keys of buckets in which some differ."""
+    """The rows with the roots of node and centre, and the keys of buckets in which some (u of n) differ."""
     marked = written(_rooted(_rooted(rows, roots, "node"), roots, "centre"), f"{label}-marked")
     unlike = F.col("node_root") != F.col("centre_root")
-    keys = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u")).where("u > 0 and n > 2").select("key")
+    keys = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(unlike).alias("u")).where("u > 0 and n > 2")
     return marked, written(keys, f"{label}-mixed")
 
 
-def link_sized(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, ratio: float) -> DataFrame:
+def _signed(marked: DataFrame, keys: DataFrame, signs: DataFrame, label: str) -> DataFrame:
+    """The rows of the buckets of these keys, each with its sign, and the blocks that its bucket's nodes are dealt into."""
+    mine = written(signs.join(marked.join(keys, "key", "left_semi").select("node").distinct(), "node", "left_semi"), f"{label}-signs")
+    some = marked.join(keys, "key").join(mine, "node").withColumn("unlike", F.col("node_root") != F.col("centre_root"))
+    some = written(some.select("key", "node", "node_root", "size", "sign", "unlike", *(F.ceil(F.col(n) / DEALT).cast("int").alias(f"n{n}") for n in ("u", "n"))), f"{label}-signed")
+    discard(mine)
+    return some
+
+
+def _side(x: str) -> list[Column]:
+    return [F.col(c).alias(f"{x}_{c}") for c in ("node", "node_root", "size", "sign")]
+
+
+def _unconnected(pairs: DataFrame, maybe: Maybe, ratio: float) -> DataFrame:
+    """The pairs (a, b) of like size whose signs don't rule them out."""
+    alike = _alike(F.col("a_size"), F.col("b_size"), ratio) & maybe(*({"size": F.col(f"{x}_size"), "sign": F.col(f"{x}_sign")} for x in ("a", "b")))
+    return _ordered(pairs.where((F.col("a_node_root") != F.col("b_node_root")) & alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
+def _dealt(some: DataFrame, maybe: Maybe, ratio: float) -> DataFrame:
+    """Pairs of the nodes that are not in their centre's group with all others of their bucket.
+
+    Both are dealt into blocks of about ``DEALT`` nodes. Each meets each once, and what can't be alike is left out within the join.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asked = some.where("unlike").select("key", own("nu").alias("bx"), every("nn").alias("by"), *_side("a"))
+    answering = some.select("key", own("nn").alias("by"), every("nu").alias("bx"), *_side("b"))
+    return _unconnected(asked.join(answering, ["key", "bx", "by"]), maybe, ratio)
+
+
+def link_sized(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, ratio: float, signs: DataFrame, maybe: Maybe) -> DataFrame:
     """Components (node, root), from buckets (key, node, size) of nodes that have several keys each.
 
     Nodes whose sizes differ by more than ``ratio`` are never linked. Each node is tested against the
-    smallest of each of its buckets. Buckets with nodes that are not in its group are then dealt into
-    finer ones, whose nodes share two keys, and each node is tested against the smallest of each of
-    those. So a key that many unlike nodes share costs its rows, not their square, and a pair is found
-    if one of the buckets and finer buckets that it shares has no smaller node unlike both.
+    smallest of each of its buckets. In buckets with nodes that are not in its group, each of those is then
+    held against all others: so all linked nodes that share a key are connected. ``signs`` (node, sign) are
+    short descriptions; only pairs for which ``maybe`` holds become rows. It may let through pairs that ``verify`` refuses, but never the other way round.
     """
     rows, pairs = _star(buckets, ratio, label)
     edges = written(verify(pairs), f"{label}-links")
     roots = components(edges, label)
     marked, keys = _mixed(rows, roots, label)
+    discard(rows)
     if keys.isEmpty():
-        discard(rows, marked, keys)
+        discard(edges, marked, keys)
         return roots
-    some = marked.join(keys, "key", "left_semi").select("node", "size", F.col("key").alias("k"))
-    both = some.join(rows.select("node", F.col("key").alias("other")), "node").where("k != other")
-    finer = written(both.select(F.xxhash64(F.least("k", "other"), F.greatest("k", "other")).alias("key"), "node", "size").distinct(), f"{label}-finer")
-    discard(rows, marked, keys)
-    rows, pairs = _star(finer, ratio, label)
-    discard(finer)
-    pairs = _rooted(_rooted(pairs, roots, "a"), roots, "b").where("a_root != b_root").select("a", "b")
-    edges = edges.unionByName(written(verify(pairs), f"{label}-links"))
-    before, roots = roots, components(edges, label)
-    discard(before)
-    discard(rows)
+    some = _signed(marked, keys, signs, label)
+    discard(marked, keys)
+    pairs = written(_dealt(some, maybe, ratio), f"{label}-unlike")
+    discard(some)
+    more = written(verify(pairs), f"{label}-links")
+    discard(pairs)
+    if not more.isEmpty():
+        before, roots = roots, components(edges.unionByName(more), label)
+        discard(before)
+    discard(edges, more)
     return roots
 
 

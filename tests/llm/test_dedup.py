@@ -195,6 +195,42 @@ def test_lines_with_changed_words_are_found(spark):
     assert all(found[x] == 40 for x in ((5, 1), (10, 1), (20, 1), (50, 1))) and found[20, 3] + found[50, 8] >= 76, found
 
 
+def test_lines_that_share_a_key_are_all_tested(spark, monkeypatch):
+    """The groups of lines are those of all pairs that share a key, also where a bucket's smallest line is unlike both."""
+    monkeypatch.setattr(linking, "DEALT", 16)
+    random = np.random.default_rng(5)
+    words = ["".join(random.choice(list("abcdefghijklmnop"), random.integers(3, 11))) for _ in range(400)]
+    passage = [str(w) for w in random.choice(words, 14)]
+    docs = []
+    for i in range(160):
+        own = [str(w) for w in random.choice(words, 10)]
+        for _ in range(1 + i % 3):
+            line = own[:5] + passage + own[5:]
+            for _ in range(random.integers(0, 4)):
+                line[random.integers(0, len(line))] = str(random.choice(words))
+            docs.append((len(docs), " ".join(line)))
+    docs += [(len(docs) + i, "语言" * 12 + "行文" * (i % 9) + chr(0x4E00 + i)) for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = sorted({t for _, t in docs})
+    table = lines.with_sketch(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, line string").withColumn("w", F.split("line", " ")), "w", "line", "keys")
+    keys = {r["i"]: set(r["keys"]) for r in table.select("i", "keys").collect()}
+    pairs = [(i, j, texts[i], texts[j]) for i, j in itertools.combinations(range(len(texts)), 2) if keys[i] & keys[j]]
+    near = spark.createDataFrame(pairs, "i int, j int, a string, b string")
+    signs = {x: F.struct(F.length(x).alias("size"), lines.sign(F.col(x)).alias("sign")) for x in "ab"}
+    linked = lines.similar(near.where(lines.overlap(F.col("a"), F.col("b"))).withColumn("x", F.col("a")).withColumn("y", F.col("b")), "x", "y")
+    told = linked.withColumn("p", signs["a"]).withColumn("q", signs["b"]).select("i", "j", lines.may_be_similar(*({"size": F.col(f"{s}.size"), "sign": F.col(f"{s}.sign")} for s in "pq")).alias("may")).collect()
+    assert len(told) > 100 and all(r["may"] for r in told)
+    root = list(range(len(texts)))
+    for r in told:
+        a, b = root[r["i"]], root[r["j"]]
+        root = [a if x == b else x for x in root]
+    first = {}
+    for _, t in docs:
+        first.setdefault(root[texts.index(t)], t)
+    gone = lines.deduplicate(frame, every_line=True).where("n_removed = 1").count()
+    assert gone == len(docs) - len(first)
+
+
 def test_short_lines_and_lines_without_blanks(spark):
     """Equal lines go however short they are; near ones of one long word go too; lines without a word stay."""
     rng = random.Random(12)
