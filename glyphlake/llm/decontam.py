@@ -38,18 +38,35 @@ _FILTER_BITS = 22
 
 
 @dataclass
-class Block:
-    """Items of one block: all their shingles, which of them are in a sketch, and the items of each."""
+class Index:
+    """Shingles and the items of each."""
 
-    ids: list[int | None]
-    sizes: np.ndarray
     shingles: np.ndarray  # sorted, each once
     starts: np.ndarray  # of each shingle's stretch of ``items``
     items: np.ndarray
-    sketched: np.ndarray  # of ``items``: the shingle is in that item's sketch
     seen: np.ndarray  # by a hash's leading bits: some shingle has them
 
 
+@dataclass
+class Block:
+    """Items of one block: the sketches that find candidates, and the whole sets that decide on them."""
+
+    ids: list[int | None]
+    sizes: np.ndarray
+    sketches: Index
+    sets: Index
+
+
+def index(sets: list[np.ndarray]) -> Index:
+    shingle = np.concatenate([np.zeros(0, np.uint64), *sets])
+    item = np.repeat(np.arange(len(sets)), [len(s) for s in sets]).astype(np.int64)
+    order = np.argsort(shingle, kind="stable")
+    each, starts = np.unique(shingle[order], return_index=True)
+    seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    seen[each >> np.uint64(64 - _FILTER_BITS)] = True
+    return Index(each, np.append(starts, len(shingle)), item[order], seen)
+
+
 def sketch_length(size: int, threshold: float = THRESHOLD) -> int:
     """The sketch length of the partition (u/2, u] that a set size lies in; u is a power of two."""
     most = 1 << max(0, size - 1).bit_length()
@@ -57,15 +74,9 @@ def sketch_length(size: int, threshold: float = THRESHOLD) -> int:
 
 
 def block(sets: list[tuple[int | None, np.ndarray]]) -> Block:
-    sizes = np.array([len(s) for _, s in sets], dtype=np.int64)
-    shingle = np.concatenate([s for _, s in sets]) if sets else np.zeros(0, np.uint64)
-    item = np.repeat(np.arange(len(sets)), sizes)
-    sketched = np.concatenate([np.arange(len(s)) < sketch_length(len(s)) for _, s in sets]) if sets else np.zeros(0, bool)
-    order = np.argsort(shingle, kind="stable")
-    each, starts = np.unique(shingle[order], return_index=True)
-    seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-    seen[each >> np.uint64(64 - _FILTER_BITS)] = True
-    return Block([i for i, _ in sets], sizes, each, np.append(starts, len(shingle)), item[order], sketched[order], seen)
+    """The items of these (id, sorted shingles); a sketch is the least shingles of a set."""
+    own = [s for _, s in sets]
+    return Block([i for i, _ in sets], np.array([len(s) for s in own], dtype=np.int64), index([s[: sketch_length(len(s))] for s in own]), index(own))
 
 
 def blocks(items: DataFrame, text: str, key: str) -> Iterator[Block]:
@@ -92,24 +103,42 @@ def blocks(items: DataFrame, text: str, key: str) -> Iterator[Block]:
         yield block(held)
 
 
-def search(query: Block, texts: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """(row, item, shared shingles) of each text that holds enough of an item."""
+def _met(shingles: np.ndarray, seen: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each (text, place) once for which the text holds the shingle at that place of a sorted array."""
     rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row, hashes in textvec.all_shingles(texts):
-        maybe = np.flatnonzero(query.seen[hashes >> np.uint64(64 - _FILTER_BITS)])
-        at = np.searchsorted(query.shingles, hashes[maybe])
-        hit = (at < len(query.shingles)) & (query.shingles[np.minimum(at, len(query.shingles) - 1)] == hashes[maybe])
+        maybe = np.flatnonzero(seen[hashes >> np.uint64(64 - _FILTER_BITS)])
+        at = np.searchsorted(shingles, hashes[maybe])
+        hit = (at < len(shingles)) & (shingles[np.minimum(at, len(shingles) - 1)] == hashes[maybe])
         rows.append(row[maybe][hit])
         places.append(at[hit])
-    pair = np.unique(np.concatenate(rows) * (len(query.shingles) + 1) + np.concatenate(places))
-    row, place = pair // (len(query.shingles) + 1), pair % (len(query.shingles) + 1)
-    n = query.starts[place + 1] - query.starts[place]
-    posting = np.repeat(query.starts[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    both = np.repeat(row, n) * len(query.ids) + query.items[posting]
-    candidates = np.unique(both[query.sketched[posting]])
+    pair = np.unique(np.concatenate(rows) * (len(shingles) + 1) + np.concatenate(places))
+    return pair // (len(shingles) + 1), pair % (len(shingles) + 1)
+
+
+def _pairs(index: Index, items: int, texts: list[str]) -> np.ndarray:
+    """row * items + item for each text and each of an index's shingles that it holds, and each of that shingle's items."""
+    row, place = _met(index.shingles, index.seen, texts)
+    n = index.starts[place + 1] - index.starts[place]
+    posting = np.repeat(index.starts[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(row, n) * items + index.items[posting]
+
+
+def search(query: Block, texts: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+    """(row, item, shared shingles) of each text that holds enough of an item.
+
+    Sketches alone say which texts are candidates; only those are read again and held against whole sets.
+    """
+    n = len(query.ids)
+    candidates = np.unique(_pairs(query.sketches, n, texts))
+    if not len(candidates):
+        return []
+    rows = np.unique(candidates // n)
+    both = _pairs(query.sets, n, [texts[r] for r in rows])
+    both = rows[both // n] * n + both % n
     found, shared = np.unique(both[np.isin(both, candidates)], return_counts=True)
-    enough = shared >= np.ceil(threshold * query.sizes[found % len(query.ids)] - 1e-9)
-    return [(int(f) // len(query.ids), int(f) % len(query.ids), int(s)) for f, s in zip(found[enough], shared[enough], strict=True)]
+    enough = shared >= np.ceil(threshold * query.sizes[found % n] - 1e-9)
+    return [(int(f) // n, int(f) % n, int(s)) for f, s in zip(found[enough], shared[enough], strict=True)]
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
