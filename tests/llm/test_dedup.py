@@ -231,6 +231,26 @@ def test_lines_that_share_a_key_are_all_tested(spark, monkeypatch):
     assert gone == len(docs) - len(first)
 
 
+def test_bounds_of_edits_hold(spark):
+    """The bound by words is never below the distance, and far enough from the limit to decide on lines with a few changed words."""
+    rng = random.Random(13)
+    rows = [("", ""), ("", "a b"), ("a b", ""), (" a", "a "), ("x" * 30, "x" * 20)]
+    for n, changed in ((6, 1), (20, 3), (60, 4), (60, 60)):
+        for _ in range(15):
+            base = rng.choices(WORDS, k=n)
+            other = edited(rng, base, changed)
+            del other[rng.randrange(n)]
+            other.insert(rng.randrange(n), rng.choice(WORDS))
+            rows.append((" ".join(base), " ".join(other)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("true"), lines._most_edits(F.col("a"), F.col("b")).alias("most")).collect()
+    assert all(r["most"] >= r["true"] for r in got)
+    near = [r for r in got if r["true"] <= 0.1 * len(r["a"]) and len(r["a"]) > 200]
+    assert len(near) >= 10 and sum(r["most"] <= 0.2 * len(r["a"]) for r in near) >= 0.8 * len(near)
+    both = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    kept = [{r["i"] for r in lines.similar(both, "a", "b", likely).select("i").collect()} for likely in (True, False)]
+    assert kept[0] == kept[1] == {i for i, (a, b) in enumerate(rows) if similarity(a, b) >= 0.8 - 1e-9}
+
+
 def test_short_lines_and_lines_without_blanks(spark):
     """Equal lines go however short they are; near ones of one long word go too; lines without a word stay."""
     rng = random.Random(12)
