@@ -251,6 +251,26 @@ def test_bounds_of_edits_hold(spark):
     assert kept[0] == kept[1] == {i for i, (a, b) in enumerate(rows) if similarity(a, b) >= 0.8 - 1e-9}
 
 
+def test_each_pair_of_a_bucket_is_made_once(spark, monkeypatch):
+    """Unconnected nodes that share many buckets become one row, without a distinct over rows made once a bucket."""
+    monkeypatch.setattr(linking, "DEALT", 4)
+    rng = random.Random(14)
+    members = sorted({(key, rng.randrange(40)) for key in range(12) for _ in range(14)} | {(20, i) for i in range(15)} | {(21, i) for i in range(15)})
+    root = {i: i // 3 * 3 for i in range(40)}
+    centre = {k: min(n for q, n in members if q == k) for k, _ in members}
+    marked = spark.createDataFrame([(k, n, 10, root[n], root[centre[k]]) for k, n in members], "key long, node long, size int, node_root long, centre_root long")
+    signs = spark.createDataFrame([(i, i) for i in range(40)], "node long, sign long")
+    keys = marked.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("node_root") != F.col("centre_root")).alias("u")).where("u > 0")
+    pairs = linking._dealt(linking._signed(marked, keys, signs, "t"), lambda a, b: F.lit(True), 0.8)
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    buckets = defaultdict(set)
+    for k, n in members:
+        buckets[k].add(n)
+    want = {(a, b) for ns in buckets.values() for a, b in itertools.combinations(sorted(ns), 2) if root[a] != root[b]}
+    assert sorted(got) == sorted(want) and want
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_short_lines_and_lines_without_blanks(spark):
     """Equal lines go however short they are; near ones of one long word go too; lines without a word stay."""
     rng = random.Random(12)
