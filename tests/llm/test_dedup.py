@@ -271,6 +271,25 @@ def test_each_pair_of_a_bucket_is_made_once(spark, monkeypatch):
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_of_like_simhash_are_found(spark):
+    """Lines whose SimHashes agree in enough blocks are candidates, also if they share no run of words."""
+    rng = random.Random(15)
+    pool = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(3000)]
+    rank = {r["w"]: r["r"] for r in spark.createDataFrame([(w,) for w in pool], "w string").select("w", lines._rank(F.col("w")).alias("r")).collect()}
+    pool.sort(key=rank.__getitem__)
+    docs = []
+    for _ in range(30):
+        base = rng.sample(pool[:2500], 150)
+        least = sorted(base, key=rank.__getitem__)[: lines.SKETCH + 2 * lines.RUN]
+        swap = {w: rng.choice(pool[2500:]) for w in least[lines.RUN - 1 :: lines.RUN]}
+        docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(swap.get(w, w) for w in base))]
+    sims = spark.createDataFrame([(i, t.split()) for i, t in docs], "i long, w array<string>").select("i", lines.block_keys(lines.simhash(lines.features(F.col("w"), lines.long_words(F.col("w"))))).alias("k")).collect()
+    keys = {r["i"]: set(r["k"]) for r in sims}
+    want = {i for i in range(1, len(docs), 2) if keys[i] & keys[i - 1]}
+    gone = {r["doc_id"] for r in lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), every_line=True).where("n_removed = 1").collect()}
+    assert len(want) >= 5 and want <= gone
+
+
 def test_short_lines_and_lines_without_blanks(spark):
     """Equal lines go however short they are; near ones of one long word go too; lines without a word stay."""
     rng = random.Random(12)
