@@ -271,6 +271,48 @@ def test_each_pair_of_a_bucket_is_made_once(spark, monkeypatch):
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_unlike_lines_of_a_bucket_make_no_rows_of_pairs(spark, monkeypatch):
+    """Lines that share a passage are all tested within a join, of which only links come out."""
+    monkeypatch.setattr(linking, "DEALT", 32)
+    rng = random.Random(16)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = [word(8) for _ in range(48)]
+    docs = []
+    for i in range(100):
+        own = [word(6) for _ in range(32)]
+        docs.append((len(docs), " ".join(own[:16] + passage + own[16:])))
+        if i % 10 == 0:
+            docs.append((len(docs), " ".join([word(6), *own[1:16], *passage, *own[16:]])))
+    made, real = Counter(), linking.written
+
+    def counted(df, label):
+        out = real(df, label)
+        made[label] = max(made[label], out.count())
+        return out
+
+    monkeypatch.setattr(linking, "written", counted)
+    gone = {r["doc_id"] for r in lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), every_line=True).where("n_removed = 1").collect()}
+    assert gone == {i for i in range(1, len(docs)) if docs[i][1].split()[1:] == docs[i - 1][1].split()[1:]} and len(gone) == 10
+    buckets = made.pop("lines-rows")
+    assert made["lines-signed"] > 100 and max(made.values()) <= buckets < 100 * 99 / 2, made
+
+
+def test_linked_within_a_join_is_as_before(spark):
+    """What decides within the join agrees with what decides on rows, also on lines of few and of very long words."""
+    rng = random.Random(17)
+    rows = [("", ""), ("", "a b"), ("a b c d", "a b c e"), ("x" * 30, "x" * 27 + "yyy"), ("x" * 30, "x" * 20), ("é" * 25 + "ab", "é" * 25 + "ba")]
+    for n, changed in ((6, 1), (20, 3), (20, 5), (60, 4), (60, 20), (60, 60), (400, 40)):
+        for _ in range(6):
+            base = rng.choices(WORDS, k=n)
+            rows.append((" ".join(base), " ".join(edited(rng, base, changed))))
+    rows += [(b + " a", a) for a, b in rows]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    told = {r["i"] for r in lines.similar(df.where(lines.overlap(F.col("a"), F.col("b"))), "a", "b").select("i").collect()}
+    side = lambda x: {"size": F.length(x), "sign": F.struct(F.col(x).alias("line"))}
+    assert {r["i"] for r in df.where(lines.linked(side("a"), side("b"))).select("i").collect()} == told
+    assert 10 < len(told) < len(rows) - 10
+
+
 def test_lines_of_like_simhash_are_found(spark):
     """Lines whose SimHashes agree in enough blocks are candidates, also if they share no run of words."""
     rng = random.Random(15)
