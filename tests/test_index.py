@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.operators import postings
 from glyphlake.operators.index import PAGE_ROWS, PatternIndex, ilike, like
 from glyphlake.plans import estimate as costs
 from glyphlake.plans import merging
@@ -182,3 +183,15 @@ def test_manifest_round_trip(tmp_path):
     m = Manifest(0, "w", ["id"], None, None, "{}", {"k": 3}, runs=[Run(1, "p", 1, 1, 1, 0, 1)])
     m.write(f"file://{tmp_path}/m")
     assert Manifest.read(f"file://{tmp_path}/m") == m
+
+
+def test_a_list_counts_as_one_beyond_a_stretch(spark, tmp_path, monkeypatch):
+    """A list's bytes are those of all deltas, also of the first ones of later stretches."""
+    monkeypatch.setattr(postings, "STRETCH", 1000)
+    rare = [5, 900, 1950, 1951, 7000]
+    df = spark.range(8000).select("id", F.when(F.col("id").isin(rare), "qqq").otherwise("abc").alias("w"))
+    index = PatternIndex.create(df, f"file://{tmp_path}/i", "w", ["id"])
+    got = {r["key"]: (r["n"], r["bytes"]) for r in index.keys().collect()}
+    size = lambda vals: sum(1 if b - a < 128 else 2 for a, b in zip([-1, *vals], vals, strict=False))
+    assert got["G3:qqq"] == (5, size(rare))
+    assert got["G3:abc"] == (7995, size([i for i in range(8000) if i not in rare]))
