@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.functions.keys import is_exact, keys_of
 from glyphlake.operators import postings
 from glyphlake.operators.index import PAGE_ROWS, PatternIndex, ilike, like
 from glyphlake.plans import estimate as costs
@@ -195,3 +196,54 @@ def test_a_list_counts_as_one_beyond_a_stretch(spark, tmp_path, monkeypatch):
     size = lambda vals: sum(1 if b - a < 128 else 2 for a, b in zip([-1, *vals], vals, strict=False))
     assert got["G3:qqq"] == (5, size(rare))
     assert got["G3:abc"] == (7995, size([i for i in range(8000) if i not in rare]))
+
+
+def lists(index):
+    """All lists, from the stored segments."""
+    found = postings.segments(index.spark, index.manifest.runs).toArrow()
+    n, vals = postings.decoded(found)
+    return sorted(zip(np.repeat(found.column("key").to_pylist(), n).tolist(), vals.tolist(), strict=True))
+
+
+def test_lists_are_stored_by_stretch(spark, words, tmp_path, monkeypatch):
+    """A run has one row a key and stretch, however many rows the key is in; also after merges, vacuums and updates."""
+    monkeypatch.setattr(postings, "STRETCH", 256)
+    monkeypatch.setattr(postings, "FILE_BYTES", 1000)
+    many = words.select("id", "w").union(words.select(F.col("id") + 1000, "w")).union(words.select(F.col("id") + 2000, "w"))
+    index = PatternIndex.create(many, f"file://{tmp_path}/i", "w", ["id"], rows_per_page=16)
+    index.insert(many.select((F.col("id") + 5000).alias("id"), "w").where("id < 5300"))
+    index.delete("id % 3 = 0")
+    index.compact()
+    index.vacuum()
+    own = lists(index)
+    assert len(own) == len(set(own))
+    [run] = index.manifest.runs
+    stored = postings.segments(spark, [run])
+    assert stored.count() == stored.select("key", "at").distinct().count() == len({(k, v // 256) for k, v in own})
+    live = index._live(index._heap(index.manifest.parts)).select("w", "__rid", "__page").collect()
+    p = index.params
+    truth = {(k, r["__rid"] if is_exact(k, p) else r["__page"]) for r in live if r["w"] is not None for k in keys_of(r["w"], p)}
+    assert {x for x in own if is_exact(x[0], p)} == {x for x in truth if is_exact(x[0], p)}
+    assert truth <= set(own) and index.verify() == 0
+
+
+def test_verify_finds_what_lists_lack(spark, words, tmp_path):
+    index = PatternIndex.create(words, f"file://{tmp_path}/i", "w", ["id"], rows_per_page=16)
+    [run] = index.manifest.runs
+    have = lambda key: {r["id"] for r in words.collect() if r["w"] is not None and key in keys_of(r["w"], index.params)}
+    for i, gone in enumerate((["G3:ail"], ["G2:ae"], ["G3:ail", "G2:ae", "N"])):
+        left = postings.segments(spark, [run]).where(~F.col("key").isin(gone))
+        index.manifest.runs = [postings.write_run(left, None, index.params, f"file://{tmp_path}/r{i}", 1, run.rows, run.npages, 1)]
+        assert index.verify() == len(set().union(*map(have, gone)))
+
+
+def test_a_broad_search_exchanges_no_rows(spark, words, tmp_path, monkeypatch):
+    monkeypatch.setattr(costs, "BUDGET", 10)
+    index = PatternIndex.create(words, f"file://{tmp_path}/i", "w", ["id"], rows_per_page=16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for one in (index.where(like("%ai%"), plan="index"), index.where(like("%ail%"), plan="index"), index.where_any(ilike("%ail%"), like("_a_"), plan="index")):
+            assert "SortMergeJoin" not in one._jdf.queryExecution().executedPlan().toString()
+        assert index.where_any(ilike("%ail%"), like("_a_"), plan="index").count() == words.where("w ilike '%ail%' or w like '_a_'").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

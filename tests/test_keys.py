@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphlake.functions.keys import END, keys_of, shown, value_keys
+from glyphlake.functions.bulk import keyed
+from glyphlake.functions.keys import END, is_exact, keys_of, shown, value_keys
 from glyphlake.functions.params import IndexParams
 from glyphlake.plans.pattern import ANY, ONE, PatternError, normal, parse, pattern_keys
 from glyphlake.queries import GOLDEN_KEYS
@@ -87,3 +91,22 @@ def test_options_are_checked():
         with pytest.raises(ValueError):
             IndexParams.of(**bad)
     assert IndexParams(cap=2, reverse_depth=9).reverse_depth == 2
+
+
+def test_keys_of_many_values_at_once():
+    rng = random.Random(5)
+    mixed = [None, "", "a", "café", "日本語テキスト", "a\\b", "x" * 70, "😀b", f"q{END}", "line\nbreak"] + ["".join(rng.choice("abAB_é日😀x ") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    letters_ = ["".join(chr(0x3400 + (i * 7 + j * 131) % 40000) for j in range(80)) for i in range(500)]  # more than a key's number has room for
+    for p in (IndexParams(), IndexParams(exact=False, rollup=2, skip_depth=0), IndexParams(k=1, cap=8, cross_edges=True, reverse_depth=3, rollup=4, exact_bigrams=True), IndexParams(k=8, cap=1, rollup=0, anchor_len=0, skip_depth=8, composite=False, reverse_depth=0), IndexParams(long_value_limit=9)):
+        for values in (mixed, letters_, [""], ["a"]):
+            rids = np.arange(len(values)) * 3 + 1000
+            pages, want = rids // p.rows_per_page, set()
+            for v, rid, page in zip(values, rids.tolist(), pages.tolist(), strict=True):
+                own = set() if v is None else {"A"} if p.long_value_limit and len(v.encode()) > p.long_value_limit else keys_of(v, p)
+                want |= {(k, rid if is_exact(k, p) else page) for k in own}
+            got = []
+            for keys, starts, vals in keyed(pa.array(values, pa.string()), rids, pages, p):
+                for key, a, z in zip(keys, starts, [*starts[1:], len(vals)], strict=True):
+                    got += [(key, v) for v in vals[a:z].tolist()]
+                    assert (np.diff(vals[a:z]) > 0).all()
+            assert set(got) == want
