@@ -14,7 +14,8 @@ from glyphlake.functions.bulk import keyed
 from glyphlake.functions.keys import END, is_exact, keys_of, shown, value_keys
 from glyphlake.functions.params import IndexParams
 from glyphlake.plans.pattern import ANY, ONE, PatternError, normal, parse, pattern_keys
-from glyphlake.queries import GOLDEN_KEYS
+from glyphlake.queries import GOLDEN_KEYS, QUERIES
+from tests.conftest import SF
 
 #: The keys of ``hello``.
 HELLO = """G1:\\0 G1:e G1:h G1:l G1:o G2:el G2:he G2:ll G2:lo G2:o\\0 G3:ell G3:hel G3:llo G3:lo\\0 H:F:he H:F:hel H:F:hell
@@ -110,3 +111,16 @@ def test_keys_of_many_values_at_once():
                     got += [(key, v) for v in vals[a:z].tolist()]
                     assert (np.diff(vals[a:z]) > 0).all()
             assert set(got) == want
+
+
+def test_keys_of_some_families(spark):
+    """Only the wanted ones are made, and each different name is taken apart once, however many rows have it."""
+    p = IndexParams(cross_edges=True, reverse_depth=2, rollup=4)
+    values = ["", "a", "hello", "Hello World", "café", f"q{END}", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for tags in (("G1", "G2", "G3", "G4"), ("S2", "S4"), ("U", "P", "T", "C"), ("C",), ("H",), ("X",), ("N", "A")):
+        for row in df.select("v", value_keys(F.col("v"), p, tags).alias("k")).collect():
+            want = None if row["v"] is None else {k for k in keys_of(row["v"], p) if re.split("[:.]", k)[0] in tags}
+            assert row["k"] == want if want is None else set(row["k"]) == want
+    plan = QUERIES["value_keys_anchors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "S2:" not in plan and plan.index("Generate") < plan.index("Aggregate [p_name")
